@@ -4,7 +4,7 @@ A text becomes a vector of hashed character trigrams (lower-cased UTF-8, anythin
 folded to one space), weighted sqrt(tf) x idf and scaled to unit length. Every language has
 several centroids, found by spherical k-means over a bounded sample of labelled rows; a text
 takes the language of the centroid with the largest cosine. A text is *rejected* if it has no
-letter, or if its best cosine lies under the model's distance threshold.
+letter, or if it has some length and its best cosine lies under the model's distance threshold.
 
 Defined cases: null, empty or letterless text gives ``und`` with score 0 and is rejected;
 texts of any length are read whole; ties go to the alphabetically first language; with no
@@ -27,8 +27,9 @@ from . import common
 
 #: Hashed feature space, documents a language may give to the sample, languages, centroids each.
 DIMS, SAMPLE_PER_LANG, MAX_LANGS, CENTROIDS = 8192, 400, 200, 3
-#: Rejected under this share of the lowest cosine that a sample text had with its own language.
-REJECT_SHARE = 0.5
+#: Rejected under this share of the lowest cosine that a sample text of REJECT_LEAST trigrams or
+#: more had with its own language; shorter texts say too little to be rejected by distance.
+REJECT_SHARE, REJECT_LEAST = 0.25, 64
 UND = "und"
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -65,13 +66,14 @@ class Model:
         live = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
         for at in range(0, len(live), 256):
             part = live[at : at + 256]
-            x = np.stack([np.sqrt(trigram_counts(texts[i])) for i in part]).astype(np.float32) * self.idf
+            counts = [trigram_counts(texts[i]) for i in part]
+            x = np.sqrt(np.stack(counts)).astype(np.float32) * self.idf
             norm = np.linalg.norm(x, axis=1)
             cos = (x @ self.centroids.T) / np.maximum(norm, 1e-9)[:, None]
             best = cos.argmax(axis=1)
-            for i, j, c in zip(part, best, cos[np.arange(len(part)), best], strict=True):
+            for i, j, c, t in zip(part, best, cos[np.arange(len(part)), best], counts, strict=True):
                 lang[i], score[i] = self.langs[self.owner[j]], round(float(min(1.0, max(0.0, c))), 6)
-                out[i] = bool(c < self.reject_below)
+                out[i] = bool(c < self.reject_below and t.sum() >= REJECT_LEAST)
         return lang, score, out
 
 
@@ -116,6 +118,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         x[r, np.asarray(i, dtype=np.int64)] = c
     order = np.lexsort([x.sum(axis=1), (x @ np.arange(DIMS, dtype=np.float64)), got["l"].to_numpy(dtype=str)])  # arrival order doesn't count
     x, labels = x[order], got["l"].to_numpy(dtype=object)[order]
+    told = x.sum(axis=1) >= REJECT_LEAST
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = np.sqrt(x) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -123,7 +126,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     parts = [_sphere_means(x[labels == l], CENTROIDS) for l in langs]
     cents = np.concatenate(parts).astype(np.float32)
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-    own = [(x[labels == l] @ p.T).max(axis=1).min() for l, p in zip(langs, parts, strict=True)]
+    own = [(x[(labels == l) & told] @ p.T).max(axis=1).min(initial=1) for l, p in zip(langs, parts, strict=True)]
     return Model(langs, owner, cents, idf, float(REJECT_SHARE * min(own)))
 
 
