@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, secrets, sentencepiece_fst, token_count, url_filter, warc
+from . import ann, decontaminate, langid, neardup, pii, secrets, sentencepiece_fst, token_count, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op1_secret_scan": secrets.query,
         "op2_warc": warc.query,
         "op3_sentencepiece": sentencepiece_fst.query,
+        "op4_nearest_neighbours": ann.query,
+        "op5_pii_pseudonyms": pii.query,
         "op6_url_filter": url_filter.query,
         "op7_token_counts": token_count.query,
         "op8_decontamination": decontaminate.query,
