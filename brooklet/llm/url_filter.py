@@ -97,7 +97,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def score(host: Column, path: Column, weights: list[float], bias: float) -> Column:
     """The log-odds of block."""
-    table = F.transform(F.split(F.lit(",".join(map(repr, weights))), ","), lambda x: x.cast("double"))  # folded to a constant
+    table = F.expr("array(" + ", ".join(f"{x!r}D" for x in weights) + ")")  # literals only: folded to one constant
     s = F.concat(F.lit("^"), host, path, F.lit("$"))
     at = lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.pmod(F.conv(F.substr(F.md5(F.substr(s, i, F.lit(n)).cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("int"), F.lit(BUCKETS)))).otherwise(F.array().cast("array<int>"))
     grams = F.concat(*[at(n) for n in GRAMS])
