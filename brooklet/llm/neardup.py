@@ -1,21 +1,21 @@
 """Near-duplicate documents: b-bit MinHash signatures joined by a multi-index Hamming join.
 
 A document's set is its distinct w-word shingles (A-Z lower-cased, words split at ASCII white
-space; fewer than w words: the whole sequence as one). Its signature is K 16-bit MinHash
-symbols, cut into CHUNKS chunks. Two signatures that differ in at most T = ERRORS_TOTAL
-symbols have, by pigeonhole, a chunk with at most T // CHUNKS = 1 differing symbol; each chunk
-therefore gives one key per symbol left out, and every pair within T meets under some key.
-At a similarity of 0.8 a pair differs in 12.8 of 64 symbols on average and in more than
-T = 31 with a probability under 1e-6. Candidates are confirmed on the full sets.
+space; fewer than w words: the whole sequence as one). Its signature is K MinHash symbols, cut
+into CHUNKS chunks. Two signatures that differ in at most T = ERRORS symbols have, by
+pigeonhole, a chunk with at most T // CHUNKS = 1 differing symbol; each chunk therefore gives
+one key per symbol left out, and every pair within T meets under some key. At a similarity of
+0.8 a pair differs in 9.6 of 48 symbols on average, and in more than T = 23 with a probability
+of about 7e-6. Keys hash 16 bits a symbol; the distance of two signatures is counted on 4 bits
+a symbol, which can only lower it. Candidates are confirmed on the full sets.
 
 Steps: documents with equal sets are one class, named by its smallest doc_id; only classes go
-on. Under each key, members meet the key's leader (an aggregation, combined before its
-shuffle), never each other, and confirmed pairs give components. That leaves keys whose members
-lie in several components. There, in the same way, a second leader is taken, and then exactly
-the pairs from different components, of compatible sizes and with sketches (one bit per
-symbol) within SKETCH_BITS, are confirmed: no pair is capped, dropped or sampled. The members
-of a key outside its largest-named component are the only ones that probe there, so a key
-that holds one large settled group costs nothing further.
+on. Keys held by one class are dropped at once. Then, in TURNS rounds, the members of a key
+meet its leader (an aggregation, combined before its shuffle), never each other; confirmed
+pairs give components, and a key whose members are all in one component is settled and
+dropped. Leaders change with the round. For the keys that remain, exactly the pairs from
+different components, of compatible sizes and within T, are confirmed: no pair is capped,
+dropped or sampled, and a key that holds one large settled group costs nothing further.
 
 Defined cases: null, empty or blank text has an empty set, linked with nothing; a null doc_id
 takes no part, has a null component and is kept; rows that repeat a doc_id are one document and
@@ -35,11 +35,15 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-K, CHUNKS, ERRORS_TOTAL, SKETCH_BITS = 64, 16, 31, 20
+K, CHUNKS, ERRORS, TURNS = 48, 12, 23, 3
 WIDTH = K // CHUNKS
-#: Ids up to this many are broadcast to fetch their texts; beyond, the join shuffles.
-BROADCAST_IDS = 4_000_000
-_CACHE_WORDS = 1_000_000
+#: Words of 64 bits that hold the signature's low 4 bits a symbol.
+PACKED = K // 16
+#: Ids up to this many are broadcast to fetch texts, and classes (about 60 bytes each) to fetch
+#: signatures; beyond, those joins shuffle.
+BROADCAST_IDS, BROADCAST_CLASSES = 4_000_000, 600_000
+#: Words that a worker remembers the hash of; beyond, the memory starts anew.
+_CACHE_WORDS = 300_000
 _words: dict[bytes, int] = {}
 _rng = np.random.default_rng(20240501)
 _MUL = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,21 +83,29 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
-    bits = np.uint64(1) << np.arange(K, dtype=np.uint64)
+    shift = np.uint64(4) * np.arange(16, dtype=np.uint64)
     for b in batches:
-        n, d1, d2, sk, sig = [], [], [], [], []
+        n, d1, d2, packed, sig = [], [], [], [[] for _ in range(PACKED)], []
         for t in b.column(1).to_pylist():
             s = shingle_set(t, w)
             n.append(len(s))
             if not len(s):
-                d1.append(None), d2.append(None), sk.append(None), sig.append(None)
+                for col in (d1, d2, sig, *packed):
+                    col.append(None)
                 continue
             dig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             d1.append(int.from_bytes(dig[:8], "little", signed=True)), d2.append(int.from_bytes(dig[8:], "little", signed=True))
             g = signature(s)
-            sk.append(int((bits * ((g & 1) == 1)).sum(dtype=np.uint64).astype(np.int64)))
+            low = ((g & 15).astype(np.uint64).reshape(PACKED, 16) << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
+            for col, x in zip(packed, low.tolist(), strict=True):
+                col.append(x)
             sig.append(g)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "sk", "sig"])
+        longs = [pa.array(x, pa.int64()) for x in (n, d1, d2, *packed)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n", "d1", "d2", *_PACKED, "sig"])
+
+
+_PACKED = [f"p{i}" for i in range(PACKED)]
+_SIGNED = "doc_id long, n long, d1 long, d2 long, " + "".join(f"{p} long, " for p in _PACKED) + "sig array<int>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
@@ -102,15 +114,22 @@ def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "s"])
 
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """One row per class and key: the K symbols' chunks, each with one symbol left out."""
+def _keys(classes: DataFrame) -> DataFrame:
+    """One row per class and key: the symbols of each chunk but one."""
     each = [F.xxhash64(F.lit(c * WIDTH + out), *[F.col("sig")[c * WIDTH + j] for j in range(WIDTH) if j != out]) for c in range(CHUNKS) for out in range(WIDTH)]
-    return reps.select("id", "n", "sk", F.explode(F.array(*each)).alias("key"))
+    return classes.select("id", F.explode(F.array(*each)).alias("key"))
 
 
 def _fits(a: str, b: str) -> str:
-    """Sizes and sketches that a similar pair can have."""
-    return f"100 * least({a}.n, {b}.n) >= 80 * greatest({a}.n, {b}.n) and bit_count({a}.sk ^ {b}.sk) <= {SKETCH_BITS}"
+    """Whether sizes and signatures are those of a possible pair."""
+    x = [f"({a}.{p} ^ {b}.{p})" for p in _PACKED]
+    # a symbol differs if any of its four bits does: fold them onto the lowest, and count
+    differ = " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & {0x1111111111111111})" for v in x)
+    return f"100 * least({a}.n, {b}.n) >= 80 * greatest({a}.n, {b}.n) and {differ} <= {ERRORS}"
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v")]
 
 
 def _confirm(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, w: int) -> DataFrame:
@@ -129,13 +148,16 @@ def _confirm(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, w: int)
     return out
 
 
-def _led(keys: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each key's member and leader, the smallest by an order that the turn shuffles."""
-    order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), F.col("id"))
-    lead = keys.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"), F.col("sk"))).alias("l"), F.count(F.lit(1)).alias("c"))
-    lead = lead.filter("c > 1").select(F.col("key").alias("lk"), F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("l.sk").alias("sk"))
-    met = keys.alias("a").join(lead.alias("b"), F.expr("a.key = b.lk and a.id != b.id and " + _fits("a", "b")))
-    return met.select(F.expr("greatest(a.id, b.id)").alias("u"), F.expr("least(a.id, b.id)").alias("v")).distinct()
+def _led(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each key's members and leader, the first by an order that changes with the turn."""
+    if turn == 0:
+        lead = members.groupBy("key").agg(F.min("id").alias("leader"))
+    else:
+        lead = members.groupBy("key").agg(F.min(F.xxhash64(F.lit(turn), "id")).alias("o"))
+        lead = members.select("key", F.col("id").alias("leader"), F.xxhash64(F.lit(turn), "id").alias("o")).join(lead, ["key", "o"], "left_semi").drop("o")
+    met = members.join(lead, "key").filter("id != leader").select(*_pair("id", "leader")).distinct()
+    a, b = classes.alias("a"), classes.alias("b")
+    return met.join(a, F.expr("u = a.id")).join(b, F.expr("v = b.id")).filter(_fits("a", "b")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None = None) -> DataFrame:
@@ -144,32 +166,39 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
     common.small_batches(spark)
     scratch = scratch or common.Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.cut(docs.mapInArrow(lambda b: _signed(b, w), "doc_id long, n_shingles long, d1 long, d2 long, sk long, sig array<int>"), "signed")
+    signed = scratch.cut(docs.mapInArrow(lambda b: _signed(b, w), _SIGNED), "signed")
     named = signed.filter("doc_id is not null and d1 is not null")
-    reps = scratch.cut(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk"), F.first("sig").alias("sig")), "classes")
-    keys = _keys(reps)
-
-    links = _confirm(scratch, docs, scratch.cut(_led(keys, 0), "led"), w)
-    for turn in (1, 2):
+    first = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
+    every = scratch.cut(named.join(first, ["d1", "d2"]).filter("doc_id = id").dropDuplicates(["id"]).select("id", "d1", "d2", "n", *_PACKED, "sig"), "classes")
+    classes = common.if_small(every.select("id", "n", *_PACKED), every.count(), BROADCAST_CLASSES)
+
+    # keys that several classes hold; one pass to count, one to take their members
+    keys = _keys(every)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    members = scratch.cut(keys.join(shared, "key", "left_semi"), "members")
+    links = comp = None
+    for turn in range(TURNS):
+        new = _led(members, classes, turn)
+        new = scratch.cut(new if links is None else new.join(links, ["u", "v"], "left_anti"), "candidates")
+        found = _confirm(scratch, docs, new, w)
+        links = found if links is None else scratch.cut(links.union(found), "links")
         comp = scratch.cut(components(scratch, links), "components")
-        # keys whose members lie in several components; the counts combine before their shuffle
-        placed = keys.join(comp, keys["id"] == comp["node"], "left").select("key", "id", "n", "sk", F.coalesce("component", "id").alias("comp"))
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2").select("key", "lo")
-        rest = scratch.cut(placed.join(open_keys, "key"), "open")
-        if turn == 1:
-            pairs = _led(rest, 1)
-        else:
-            # each pair from different components once: a member outside the lowest component probes all lower ones
-            a, b = rest.filter("comp != lo").alias("a"), rest.alias("b")
-            pairs = a.join(b, F.expr("a.key = b.key and b.comp < a.comp and " + _fits("a", "b"))).select(F.expr("greatest(a.id, b.id)").alias("u"), F.expr("least(a.id, b.id)").alias("v")).distinct()
-        known = links
-        new = scratch.cut(pairs.join(known, ["u", "v"], "left_anti"), "pairs")
-        if new.isEmpty():
+        placed = members.select("id", "key").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
+        opened = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2").select("key", "lo")
+        members = scratch.cut(placed.join(opened, "key").select("id", "key", "comp", "lo"), "open")
+        if members.isEmpty():
             break
-        links = scratch.cut(known.union(_confirm(scratch, docs, new, w)), "links")
-    comp = components(scratch, links)
-    ids = reps.join(comp, reps["id"] == comp["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left")
+
+    # each pair from different components once: the member of the higher component probes
+    sized = members.join(classes, "id")
+    a, b = sized.filter("comp != lo").alias("a"), sized.alias("b")
+    rest = a.join(b, F.expr("a.key = b.key and b.comp < a.comp and " + _fits("a", "b"))).select(*_pair("a.id", "b.id")).distinct()
+    rest = scratch.cut(rest, "rest")
+    if not rest.isEmpty():
+        links = scratch.cut(links.union(_confirm(scratch, docs, rest, w)), "links")
+        comp = scratch.cut(components(scratch, links), "components")
+    ids = every.join(comp, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(ids, ["d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
