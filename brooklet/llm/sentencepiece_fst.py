@@ -19,7 +19,6 @@ Decoding is the inverted transducer, with bytes joined to characters (invalid on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .spm_model import BPE, BYTE, CONTROL, MOST_WORDS, SPACE, UNKNOWN, Model, load, words
+from .spm_model import BPE, BYTE, CONTROL, MOST_PAIRS, MOST_WORDS, SPACE, UNKNOWN, Model, load, words
 
 INF = float("inf")
+#: Longer words are not remembered.
+LONG = 64
 DEFAULT = "piece_bpe_32k.model"
 
 
@@ -42,7 +43,9 @@ class Transducer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
+        self._after: dict[int, dict[int, bool]] = {}  # the weights between neighbours: finite or not
+        self._weighed = 0
 
     def lattice(self, text: str) -> Iterator[tuple[int, int, int]]:
         """Arcs (start, end, piece) of a normalised text composed with P; piece -1 is a character
@@ -60,92 +63,127 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """Piece ids on the shortest path through a normalised text."""
+        path = self._finite(text) if self.model.kind == BPE else self._cheapest(text)
+        out: list[int] = []
+        was_unknown = False
+        for start, p in path:
+            if p >= 0:
+                out.append(p)
+            elif self.model.byte_fallback or not was_unknown:  # without bytes, unknown characters in a row are one piece
+                out += self.model.unknown_ids(text[start])
+            was_unknown = p < 0
+        return out
+
+    def _cheapest(self, text: str) -> list:
         m, n = self.model, len(text)
         cost, back = [INF] * (n + 1), [None] * (n + 1)
         cost[0] = 0.0
-        bpe = m.kind == BPE
         for i, j, p in self.lattice(text):
-            if cost[i] == INF:
-                continue
-            if bpe:
-                if p < 0:
-                    w = 0.0
-                else:
-                    last = back[i][1] if i else -1
-                    w = 0.0 if (m.follows(last, p) if last >= 0 else m.reachable(p)) else INF
-            else:
-                w = -(m.scores[p] if p >= 0 else m.unk_score)
+            w = -(m.scores[p] if p >= 0 else m.unk_score)
             if cost[i] + w < cost[j]:
                 cost[j], back[j] = cost[i] + w, (i, p)
-        path, at = [], n
-        while at:
-            path.append((at, *back[at]))
-            at = back[at][0]
-        out: list[int] = []
-        was_unknown = False
-        for end, start, p in reversed(path):
-            if p >= 0:
-                out.append(p)
-            elif m.byte_fallback or not was_unknown:  # without bytes, unknown characters in a row are one piece
-                out += m.unknown_ids(text[start:end])
-            was_unknown = p < 0
+        path, end = [], n
+        while end:
+            path.append(back[end])
+            end = back[end][0]
+        return path[::-1]
+
+    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece) of the lattice's arcs from a position, the longest last."""
+        out: list[tuple[int, int]] = []
+        node, j, n = self.root.get(text[i]), i + 1, len(text)
+        if node is None or "" not in node:
+            out.append((j, -1))
+        while node is not None:
+            p = node.get("")
+            if p is not None:
+                out.append((j, p))
+            if j == n:
+                break
+            node = node.get(text[j])
+            j += 1
         return out
 
+    def _finite(self, text: str) -> list[tuple[int, int]]:
+        """The only path of finite weight. Up to any position at most one path is finite, so the
+        search goes deep, longest piece first, and never enters a position twice."""
+        n = len(text)
+        if not n:
+            return []
+        m, after, dead = self.model, self._after, set()
+        path: list[tuple[int, int]] = []
+        todo: list[list[tuple[int, int]]] = []
+        i, last, arcs = 0, -1, self._arcs(text, 0)
+        while True:
+            weigh = after.get(last)
+            if weigh is None:
+                weigh = after[last] = {-1: True}
+            while arcs:
+                j, p = arcs.pop()
+                if j in dead:
+                    continue
+                fine = weigh.get(p)
+                if fine is None:
+                    fine = weigh[p] = m.compatible(last, p) if last >= 0 else m.reachable(p)
+                    self._weighed += 1
+                if fine:
+                    path.append((i, p))
+                    if j == n:
+                        return path
+                    todo.append(arcs)
+                    i, last, arcs = j, p, self._arcs(text, j)
+                    break
+            else:
+                dead.add(i)
+                arcs = todo.pop()
+                i, _ = path.pop()
+                last = path[-1][1] if path else -1
+                continue
+
+    def _word(self, word: str) -> bytes:
+        return np.asarray(self.shortest(SPACE + word), dtype=np.int32).tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         cut = words(self.model, text)
         if cut is None:
             return np.asarray(self.shortest(self.model.normalise(text)), dtype=np.int32)
-        known, parts = self._known, []
+        known = self._known
         if len(known) > MOST_WORDS:
             known.clear()
-        for w in cut:
-            got = known.get(w)
-            if got is None or not w:
-                break
-            parts.append(got)
+        if self._weighed > MOST_PAIRS:
+            self._after.clear()
+            self._weighed = 0
+        new = {*cut}.difference(known)
+        long = [w for w in new if len(w) > LONG]
+        for w in new:
+            if w:
+                known[w] = self._word(w)
+        if "" not in new:
+            flat = b"".join(map(known.__getitem__, cut))
         else:
-            return np.fromiter(chain.from_iterable(parts), dtype=np.int32)
-        del parts[:]
-        spaces = ""
-        for w in cut:
-            spaces += SPACE
-            if not w:
-                continue  # a run of spaces belongs to the word after it
-            if len(spaces) > 1 or len(w) > 64:
-                parts.append(tuple(self.shortest(spaces + w)))
-            else:
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = tuple(self.shortest(SPACE + w))
-                parts.append(got)
-            spaces = ""
-        if spaces:
-            parts.append(tuple(self.shortest(spaces)))
-        return np.fromiter(chain.from_iterable(parts), dtype=np.int32)
+            parts, spaces = [], ""
+            for w in cut:
+                if not w:
+                    spaces += SPACE  # a run of spaces belongs to the word after it
+                else:
+                    parts.append(np.asarray(self.shortest(spaces + SPACE + w), dtype=np.int32).tobytes() if spaces else known[w])
+                    spaces = ""
+            if spaces:
+                parts.append(np.asarray(self.shortest(spaces), dtype=np.int32).tobytes())
+            flat = b"".join(parts)
+        for w in long:
+            known.pop(w, None)
+        return np.frombuffer(flat, dtype=np.int32)
 
     def decode(self, ids) -> str:
         """The text of piece ids: the inverted transducers, with the space before it removed."""
-        m = self.model
-        surface = self._surface()
-        parts = [surface[i] for i in ids]
-        if m.byte_fallback and any(type(p) is int for p in parts):
-            joined, run = [], bytearray()
-            for p in parts:
-                if type(p) is int:
-                    run.append(p)
-                else:
-                    if run:
-                        joined.append(run.decode("utf-8", "replace"))
-                        run = bytearray()
-                    joined.append(p)
-            parts = [*joined, run.decode("utf-8", "replace")]
-        text = "".join(parts)
-        return text[1:] if m.dummy_prefix and text[:1] == " " else text
-
-    def _surface(self) -> list:
+        text = b"".join(map(self._surface().__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+    def _surface(self) -> list[bytes]:
         if not hasattr(self, "_texts"):
             m = self.model
-            self._texts = [int(p[1:-1], 16) if t == BYTE else "" if t == CONTROL else " ⁇ " if t == UNKNOWN else p.replace(SPACE, " ") for p, t in zip(m.pieces, m.types, strict=True)]
+            self._texts = [bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(m.pieces, m.types, strict=True)]
         return self._texts
 
 

@@ -4,8 +4,8 @@ Two kinds are known. In a *unigram* model a text's pieces are the lattice path w
 sum of scores. In a *BPE* model they are what greedy merging leaves; that, too, is a lattice
 path, the only one on which every two neighbours are *compatible*: merging their joined text
 gives those two pieces again. (Greedy merging always takes the best pair of the whole text, so
-what it does within two neighbours is what it would do on them alone.) ``follows`` decides
-compatibility by replaying the merges of both pieces towards their common boundary.
+what it does within two neighbours is what it would do on them alone.) ``compatible``
+decides it by replaying the merges of both pieces towards their common boundary.
 """
 
 from __future__ import annotations
@@ -99,7 +99,6 @@ class Model:
         #: Whether words can be cut apart before each run of spaces: no piece has a space after another letter.
         self.by_word = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self._replays: dict[int, tuple | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
 
     def normalise(self, text: str) -> str:
         """The identity normaliser's flags: squeezed spaces, a space before the text, escaped spaces."""
@@ -139,16 +138,8 @@ class Model:
     def reachable(self, piece: int) -> bool:
         return self.kind == UNIGRAM or self._replay(piece) is not None
 
-    def follows(self, a: int, b: int) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """Whether piece b can stand after piece a in a BPE result."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) > MOST_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._compatible(a, b)
-        return known
-
-    def _compatible(self, a: int, b: int) -> bool:
         ra, rb = self._replay(a), self._replay(b)
         if ra is None or rb is None:
             return False

@@ -5,7 +5,7 @@ text. Dynamic programming carries two numbers a position: the best score and the
 the path that has it; no piece is ever kept. For a unigram model the score is the sum of the
 pieces' scores, and of equal sums the path whose last piece begins first wins, the tokenizer's
 own rule. For a BPE model exactly one piece can end each prefix, the one that greedy merging
-leaves (see spm_model.follows); the state carries that piece in place of the score. A character
+leaves (see spm_model.compatible); the state carries that piece in place of the score. A character
 outside the vocabulary counts its UTF-8 bytes with byte fallback, else one for each run.
 
 Words are counted one by one (no piece crosses a space after a letter) and remembered, up to a
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .spm_model import BPE, MOST_WORDS, SPACE, Model, load, words
+from .spm_model import BPE, MOST_PAIRS, MOST_WORDS, SPACE, Model, load, words
 
 DEFAULT = "piece_bpe_32k.model"
 
@@ -34,7 +34,10 @@ class Counter:
         for p, i in model.ids.items():
             self.auto.add_word(p, (len(p), i))
         self.auto.make_automaton()
+        self._chars = {p for p in model.ids if len(p) == 1}
         self._known: dict[str, int] = {}
+        self._after: dict[int, dict[int, bool]] = {}  # which pieces can stand after which
+        self._weighed = 0
 
     def _ends(self, text: str) -> list[list[tuple[int, int]]]:
         """The pieces (length, id) that end at each position, the longest first."""
@@ -50,23 +53,36 @@ class Counter:
         return self._bpe(text) if self.model.kind == BPE else self._unigram(text)
 
     def _bpe(self, text: str) -> int:
-        m, n = self.model, len(text)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        run = [False] * (n + 1)
-        for at, matches in enumerate(self._ends(text)):
-            for size, p in matches:
-                i = at + 1 - size
-                if last[i] == -2:
-                    continue
-                if m.follows(last[i], p) if last[i] >= 0 else m.reachable(p):
-                    last[at + 1], count[at + 1] = p, count[i] + 1
-                    break
-            else:
-                if text[at] in m.ids:
-                    last[at + 1] = -2
-                    continue
-                last[at + 1], run[at + 1] = -1, True
-                count[at + 1] = count[at] + (len(text[at].encode("utf-8", "replace")) if m.byte_fallback else not run[at])
+        if self._chars.issuperset(text):
+            return self._run(text)
+        total, at, run = 0, 0, False
+        for i, c in enumerate(text):  # nothing merges across a character outside the vocabulary
+            if c not in self._chars:
+                if at < i:
+                    total, run = total + self._run(text[at:i]), False
+                total += len(c.encode("utf-8", "replace")) if self.model.byte_fallback else not run
+                at, run = i + 1, True
+        return total + (self._run(text[at:]) if at < len(text) else 0)
+
+    def _run(self, text: str) -> int:
+        """Pieces of a text of known characters. Matches come by end, the longest first; the first
+        that fits is the only one."""
+        m, after, n = self.model, self._after, len(text)
+        last, count = [-1] * (n + 1), [-1] * (n + 1)
+        count[0] = 0
+        for at, (size, p) in self.auto.iter(text):
+            if count[at + 1] >= 0:
+                continue
+            i = at + 1 - size
+            weigh = after.get(last[i])
+            if weigh is None:
+                weigh = after[last[i]] = {}
+            fine = weigh.get(p)
+            if fine is None:
+                fine = weigh[p] = m.compatible(last[i], p) if i else m.reachable(p)
+                self._weighed += 1
+            if fine:
+                last[at + 1], count[at + 1] = p, count[i] + 1
         return count[n]
 
     def _unigram(self, text: str) -> int:
@@ -94,6 +110,9 @@ class Counter:
         known = self._known
         if len(known) > MOST_WORDS:
             known.clear()
+        if self._weighed > MOST_PAIRS:
+            self._after.clear()
+            self._weighed = 0
         total, spaces = 0, ""
         for w in cut:
             if w and not spaces:
