@@ -1,7 +1,8 @@
 """The durable catalog: one small event per file, replayed on start.
 
-Events: created, joined, left, dormant, reactivated, dropped, and batch (a committed batch with
-the versions and high-water mark that it left). The folded state is all that a restart needs.
+Events: table, created, joined, left, dormant, reactivated, dropped, folded (aggregate state of
+many batches written as one), and batch (a committed batch with the versions and high-water mark
+that it left). The folded state is all that a restart needs.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ class Folded:
     version: int = 0
     highwater: tuple[int, int] | None = None
     tables: dict[str, dict] = field(default_factory=dict)
+    folded: set[str] = field(default_factory=set)
+    gone: set[str] = field(default_factory=set)
 
 
 class Catalog:
@@ -65,6 +68,8 @@ class Catalog:
                     out.shapes[e["id"]].dormant_at = None
                 case "dropped":
                     out.shapes.pop(e["id"], None)
+                case "folded":
+                    out.folded, out.gone = set(e["new"]), out.gone | set(e["gone"])
                 case "batch":
                     out.batch, out.version = e["batch"], e["version"]
                     out.highwater = tuple(e["highwater"]) if e["highwater"] else None

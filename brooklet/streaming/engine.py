@@ -34,7 +34,7 @@ from brooklet.operators import aggregate as agg_ops
 from brooklet.operators import compile as comp
 from brooklet.operators import route, subset
 from brooklet.operators.aggregate import Aggregate
-from brooklet.operators.predicate import And, In, Predicate, canonical, from_json, null_sensitive, subqueries, tables, to_json, validate
+from brooklet.operators.predicate import And, In, Predicate, canonical, conjuncts, from_json, null_sensitive, subqueries, subquery_template, tables, to_json, validate
 from brooklet.operators.where_parser import parse
 from brooklet.schema import TableSchema, ValidationError
 from brooklet.sources.changelog import ENVELOPE, ChangeLog, typed
@@ -47,6 +47,8 @@ FEED = "shape_id string, key string, op string, value map<string,string>, old ma
 AGG_KEY = "agg"
 #: Keys of one batch up to which they are broadcast to find their old images.
 BROADCAST_KEYS = 500_000
+#: Files of aggregate state beyond which they are folded.
+MOST_PARTS = 60
 
 
 @dataclass
@@ -58,6 +60,21 @@ class _Shape:
     dormant_since: float | None = None
 
 
+def _template(s: _Shape) -> tuple | None:
+    """What queries of one family have in common: one positive subquery among plain conjuncts, whose
+    own filter holds no subquery and pins some columns to values."""
+    parts = list(conjuncts(s.predicate))
+    leaves = [x for x in parts if isinstance(x, In)]
+    if len(leaves) != 1 or leaves[0].negated or subqueries(leaves[0].where) or any(subqueries(x) for x in parts if x is not leaves[0]):
+        return None
+    leaf = leaves[0]
+    cols, _, residual = subquery_template(leaf.where)
+    if not cols:
+        return None
+    plain = canonical(And(tuple(x for x in parts if x is not leaf)))
+    return (s.record.table, tuple(s.record.columns), plain, leaf.col, leaf.table, leaf.project, cols, canonical(residual))
+
+
 class LiveEngine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
@@ -68,7 +85,9 @@ class LiveEngine:
         self.shapes: dict[str, _Shape] = {}
         self.metrics = {"batches": 0, "envelopes": 0, "changed_keys": 0, "feed_rows": 0, "batch_seconds": []}
         self.faults: set[str] = set()
+        self._moved_by: dict[str, tuple[DataFrame, bool] | None] = {}
         found = self.catalog.fold()
+        self.folded, self.gone = found.folded, found.gone
         self.batch, self.version, self.highwater = found.batch, found.version, found.highwater
         for t, d in found.tables.items():
             schema = TableSchema.from_json(t, d["schema"]) if not d.get("struct") else self._from_struct(t, d)
@@ -294,6 +313,7 @@ class LiveEngine:
         self._advance(images, version)
         for t in images:
             self.states[t].compact(version)
+        self._compact_aggregates(version)
         marks = [(r["hw"][0], r["hw"][1] or 0) for r in per_table if r["hw"] and r["hw"][0] is not None]
         self.highwater = max([*marks, *([self.highwater] if self.highwater else [])], default=None)
         self.batch, self.version = batch_id, version
@@ -345,9 +365,16 @@ class LiveEngine:
                 cols = self.counts[t]
                 moved = gone.unionByName(come).select(*cols, zset.WEIGHT).unionByName(was)
                 self._write(agg_ops.group_counts(moved, cols, zset.WEIGHT), self._counts_path(t, version))
-        for s in live:
-            if s.agg is None and subqueries(s.predicate) and ({s.record.table} | tables(s.predicate)) & set(images):
-                self._write(self._membership(s, images, version), self._feed_path(version, f"member-{s.record.id}"))
+        self._moved_by.clear()
+        touched = [s for s in live if s.agg is None and subqueries(s.predicate) and ({s.record.table} | tables(s.predicate)) & set(images)]
+        families: dict[tuple, list[_Shape]] = {}
+        for s in touched:
+            families.setdefault(_template(s) or (s.record.id,), []).append(s)
+        for found in families.values():
+            if len(found) > 1:
+                self._write(self._family(found, images, version), self._feed_path(version, f"family-{found[0].record.id}"))
+            else:
+                self._write(self._membership(found[0], images, version), self._feed_path(version, f"member-{found[0].record.id}"))
 
     def _values(self, found: dict[str, _Shape], schema: TableSchema, prefix: str) -> Column:
         """The wire form of a row for the query in _query: its own projection."""
@@ -400,6 +427,13 @@ class LiveEngine:
         return out.distinct()
 
     def _moved(self, leaf: In, images: dict[str, DataFrame], version: int) -> tuple[DataFrame, bool] | None:
+        """_moves(), once in a batch for equal subqueries of different queries."""
+        name = f"{leaf.table}|{leaf.project}|{canonical(leaf.where)}"
+        if name not in self._moved_by:
+            self._moved_by[name] = self._moves(leaf, images, version)
+        return self._moved_by[name]
+
+    def _moves(self, leaf: In, images: dict[str, DataFrame], version: int) -> tuple[DataFrame, bool] | None:
         """The values that a subquery's set gained or lost, and whether NULL or emptiness changed;
         None where every value can have."""
         t, schema = leaf.table, self.schemas[leaf.table]
@@ -433,6 +467,38 @@ class LiveEngine:
         both = a.join(b, "key", "full_outer").filter("not (map_entries(a.value) <=> map_entries(b.value))")
         return both.select(F.lit(r.id).alias("shape_id"), "key", F.when(F.col("b.value").isNull(), "delete").otherwise("upsert").alias("op"), F.col("b.value").alias("value"), F.col("a.value").alias("old"), F.lit(version).cast("long").alias("version"))
 
+    def _family(self, found: list[_Shape], images: dict[str, DataFrame], version: int) -> DataFrame:
+        """Feed rows of queries that differ only in the values that their subquery's columns must
+        equal: those values are rows of a table, and one plan serves all of the queries."""
+        s = found[0]
+        r, schema = s.record, self.schemas[s.record.table]
+        leaf = next(x for x in conjuncts(s.predicate) if isinstance(x, In))
+        plain = And(tuple(x for x in conjuncts(s.predicate) if x is not leaf))
+        cols, _, residual = subquery_template(leaf.where)
+        members = {x.record.id: subquery_template(next(y for y in conjuncts(x.predicate) if isinstance(y, In)).where)[1] for x in found}
+        inner_schema = self.schemas[leaf.table]
+        keys = [images[r.table].select("key")] if r.table in images else []
+        if leaf.table in images:
+            im = images[leaf.table]
+            values = im.select(F.explode(F.array(F.col(f"old.{leaf.project}"), F.col(f"new.{leaf.project}"))).alias("value")).filter("value is not null").distinct()
+            for v in (self.version, version):
+                rows = self.table(r.table, v)
+                keys.append(rows.join(values, rows[leaf.col] == values["value"], "left_semi").select(schema.key().alias("key")))
+        near = keys[0]
+        for k in keys[1:]:
+            near = near.union(k)
+        near = near.distinct().withColumnRenamed("key", "_k")
+        sides = []
+        for v in (self.version, version):
+            outer = comp.where(self.table(r.table, v), plain).withColumn("_k", schema.key()).join(near, "_k", "left_semi")
+            inner = route.route(comp.where(self.table(leaf.table, v), residual), inner_schema, members, cols)
+            held = inner.select(F.col("_query").alias("shape_id"), F.col(leaf.project).alias("_v")).filter("_v is not null").distinct()
+            hit = outer.join(held, outer[leaf.col] == held["_v"])
+            sides.append(hit.select("shape_id", F.col("_k").alias("key"), comp.row_text(schema, r.columns).alias("value")))
+        a, b = sides[0].alias("a"), sides[1].alias("b")
+        both = a.join(b, ["shape_id", "key"], "full_outer").filter("not (map_entries(a.value) <=> map_entries(b.value))")
+        return both.select("shape_id", "key", F.when(F.col("b.value").isNull(), "delete").otherwise("upsert").alias("op"), F.col("b.value").alias("value"), F.col("a.value").alias("old"), F.lit(version).cast("long").alias("version"))
+
     # ---- aggregates
 
     def _agg_path(self, version: int, what: str) -> str:
@@ -505,12 +571,37 @@ class LiveEngine:
         if rows:
             self._write(self.spark.createDataFrame(rows, FEED), self._feed_path(version, f"{what}-values"))
 
+    def _agg_names(self) -> list[str]:
+        return [n for n in self.store.list("agg") if n not in self.gone and (not n.endswith("-folded") or n in self.folded)]
+
     def _agg_parts(self, kind: str, schema: str) -> DataFrame:
-        names = [n for n in self.store.list("agg") if f"-{kind}-" in n and int(n.split("-")[0]) <= self.version]
+        names = [n for n in self._agg_names() if f"-{kind}-" in n and int(n.split("-")[0]) <= self.version]
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self.store.path(f"agg/{n}") for n in names])
 
+    def _compact_aggregates(self, version: int) -> None:
+        """Fold the aggregates' parts of many batches into one; readers see either, never both."""
+        names = [n for n in self._agg_names() if int(n.split("-")[0]) <= version]
+        if len(names) <= MOST_PARTS:
+            return
+        was, self.version = self.version, version
+        since = {i: s.record.since for i, s in self.shapes.items() if s.agg is not None}
+        live = F.lit(False)
+        for i, v in since.items():
+            live = live | ((F.col("shape_id") == i) & (F.col("version") >= v))
+        sums = self._agg_parts("sums", self._AGG).filter(live).groupBy("shape_id").agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("total").alias("total"), F.max("version").alias("version"))
+        bags = self._agg_parts("bags", self._BAG).filter(live).groupBy("shape_id", "v").agg(F.sum("w").alias("w"), F.max("version").alias("version")).filter("w != 0")
+        new = [f"{version:09d}-sums-folded", f"{version:09d}-bags-folded"]
+        self._write(sums, self.store.path(f"agg/{new[0]}"))
+        self._write(bags, self.store.path(f"agg/{new[1]}"))
+        self.version = was
+        # this event is the switch: until it is in the catalog the new files don't count, then the old ones don't
+        self.catalog.log("folded", gone=names, new=new)
+        self.folded, self.gone = set(new), self.gone | set(names)
+        for n in names:
+            self.store.delete(f"agg/{n}")
+
     def _latest_agg(self, s: _Shape) -> DataFrame:
         parts = self._agg_parts("sums", self._AGG).filter((F.col("shape_id") == s.record.id) & (F.col("version") >= s.record.since))
         return parts.agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("total").alias("total"))

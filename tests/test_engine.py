@@ -7,6 +7,7 @@ import pytest
 from brooklet.operators.predicate import matches, validate
 from brooklet.operators.where_parser import parse
 from brooklet.schema import TableSchema, ValidationError
+from brooklet.streaming import engine as engine_module
 from brooklet.streaming.engine import LiveEngine
 from brooklet.streaming.protocol import MustRefetch, ShapeProtocol
 
@@ -15,7 +16,7 @@ USERS = TableSchema.from_json("users", {"columns": {"id": "int", "name": "text",
 TEAMS = TableSchema.from_json("teams", {"columns": {"id": "int", "owner": "int", "open": "bool"}, "primaryKey": "id"})
 
 SHAPES = [None, "age > 500", "name = 'alpha'", "name = 'bravo'", "active = true AND name = 'echo'", "NOT (age <= 300) OR score IS NULL", "name LIKE '%a' AND age IS NOT NULL",
-          "id IN (SELECT owner FROM teams WHERE open = true)", "id NOT IN (SELECT owner FROM teams WHERE open = true)", "age > 400 OR id IN (SELECT owner FROM teams)"]
+          "id IN (SELECT owner FROM teams WHERE open = true)", "id IN (SELECT owner FROM teams WHERE open = false)", "name LIKE '%a' AND id IN (SELECT owner FROM teams WHERE id = 3 AND owner > 2)", "id IN (SELECT owner FROM teams WHERE id = 4 AND owner > 2) AND name LIKE '%a'", "id NOT IN (SELECT owner FROM teams WHERE open = true)", "age > 400 OR id IN (SELECT owner FROM teams)"]
 AGGREGATES = [("count", None, None), ("count", "age", "active = true"), ("sum", "score", None), ("avg", "age", "name = 'alpha'"), ("min", "age", None), ("max", "name", "age > 100")]
 
 
@@ -87,9 +88,10 @@ def check(e, model, shapes, aggs):
 
 
 @pytest.mark.parametrize("seed", [12345])
-def test_random_changes(spark, tmp_path, seed):
+def test_random_changes(spark, tmp_path, monkeypatch, seed):
     rng, model = random.Random(seed), Model()
     e = engine_with(spark, tmp_path)
+    monkeypatch.setattr(engine_module, "MOST_PARTS", 4)
     shapes = {e.create_shape("users", t): t for t in SHAPES}
     aggs = {e.create_aggregate("users", fn, col, t): (fn, col, t) for fn, col, t in AGGREGATES}
     assert e.create_shape("users", "name = 'alpha' AND active = true AND age > 1") != e.create_shape("users", "age > 1 AND name = 'alpha'")
