@@ -42,6 +42,7 @@ from brooklet.sources.fs import Store
 from brooklet.sources.state import TableState
 from brooklet.streaming import retention
 from brooklet.streaming.catalog import Catalog, ShapeRecord
+from brooklet.streaming.metrics import Metrics
 
 FEED = "shape_id string, key string, op string, value map<string,string>, old map<string,string>, version bigint"
 AGG_KEY = "agg"
@@ -83,7 +84,7 @@ class LiveEngine:
         self.states: dict[str, TableState] = {}
         self.counts: dict[str, list[str]] = {}
         self.shapes: dict[str, _Shape] = {}
-        self.metrics = {"batches": 0, "envelopes": 0, "changed_keys": 0, "feed_rows": 0, "batch_seconds": []}
+        self.metrics = Metrics()
         self.faults: set[str] = set()
         self._moved_by: dict[str, tuple[DataFrame, bool] | None] = {}
         found = self.catalog.fold()
@@ -158,6 +159,7 @@ class LiveEngine:
             if s.record.signature == sig:
                 s.record.refs += 1
                 s.last_used = time.monotonic()
+                self.metrics.count("shapes_shared")
                 self.catalog.log("joined", id=s.record.id)
                 if s.record.dormant_at is not None:
                     self.reactivate(s.record.id)
@@ -165,13 +167,15 @@ class LiveEngine:
         return None
 
     def _create(self, r: ShapeRecord, p: Predicate | None, agg: Aggregate | None = None) -> str:
-        s = _Shape(r, p, agg)
+        s, began = _Shape(r, p, agg), time.monotonic()
         if agg is not None:
             self._seed_aggregate(s)
         elif not r.changes_only:
             self._write(self._snapshot(s, self.version).withColumns({"op": F.lit("upsert"), "old": F.lit(None).cast("map<string,string>")}), self._feed_path(self.version, r.id))
         self.shapes[r.id] = s
         self.catalog.log("created", **asdict(r))
+        self.metrics.count("shapes_created")
+        self.metrics.create.add(time.monotonic() - began)
         return r.id
 
     def release(self, shape_id: str) -> None:
@@ -309,7 +313,7 @@ class LiveEngine:
             images[schema.name] = got = self.spark.read.schema(got.schema).parquet(path)
             changed = got.count()
             self.states[schema.name].apply(got, version, changed)
-            self.metrics["changed_keys"] += changed
+            self.metrics.count("changed_keys", changed)
         self._advance(images, version)
         for t in images:
             self.states[t].compact(version)
@@ -319,9 +323,9 @@ class LiveEngine:
         self.batch, self.version = batch_id, version
         self.catalog.log("batch", batch=batch_id, version=version, highwater=self.highwater, tables={t: {"bases": self.states[t].bases, "deltas": self.states[t].deltas} for t in images})
         self.store.delete(f"work/{batch_id:09d}")
-        self.metrics["batches"] += 1
-        self.metrics["envelopes"] += sum(r["n"] for r in per_table)
-        self.metrics["batch_seconds"].append(time.monotonic() - began)
+        self.metrics.count("batches")
+        self.metrics.count("envelopes", sum(r["n"] for r in per_table))
+        self.metrics.batch.add(time.monotonic() - began)
 
     def _images(self, new: DataFrame, schema: TableSchema, count: int, cut: bool) -> DataFrame:
         """(key, old, new) of every key that the batch changes."""
@@ -627,4 +631,22 @@ class LiveEngine:
         return {"id": shape_id, "nodes": [*nodes, {"op": "project", "columns": s.record.columns}, {"op": "sink"}]}
 
     def health(self) -> dict:
-        return {"status": "active" if self.version else "starting" if self.schemas else "waiting", "tables": {t: {"version": self.version, "deltas": len(st.deltas)} for t, st in self.states.items()}, "shapes": len(self.shapes), "families": {t: len(route.families({i: s.predicate for i, s in self.shapes.items() if s.record.table == t and s.agg is None and not subqueries(s.predicate)})[0]) for t in self.schemas}, "metrics": {k: v if not isinstance(v, list) else len(v) for k, v in self.metrics.items()}}
+        return {"status": "active" if self.version else "starting" if self.schemas else "waiting", "tables": {t: {"version": self.version, "deltas": len(st.deltas)} for t, st in self.states.items()}, "shapes": len(self.shapes), "families": {t: len(route.families({i: s.predicate for i, s in self.shapes.items() if s.record.table == t and s.agg is None and not subqueries(s.predicate)})[0]) for t in self.schemas}, "metrics": self.metrics.summary()}
+
+    def trace(self, shape_id: str) -> DataFrame:
+        """(version, op, rows): what each batch sent to a query's feed."""
+        return self.feed(shape_id).groupBy("version", "op").agg(F.count(F.lit(1)).alias("rows"))
+
+    def subqueries(self) -> dict[str, int]:
+        """Every distinct subquery that queries hold, at any depth, and by how many it is held."""
+        out: dict[str, int] = {}
+
+        def add(p: Predicate | None) -> None:
+            for x in subqueries(p):
+                name = f"{x.table}|{x.project}|{canonical(x.where)}"
+                out[name] = out.get(name, 0) + 1
+                add(x.where)
+
+        for s in self.shapes.values():
+            add(s.predicate)
+        return out

@@ -183,3 +183,7 @@ def test_protocol_and_live_pages(spark, tmp_path):
         c.aggregate("users", "sum", "name")
     assert c.engine.describe(next(iter(c.engine.shapes)))["nodes"][0] == {"op": "source", "table": "users"} and c.engine.health()["status"] == "active"
     assert isinstance(c.protocol, ShapeProtocol)
+    assert c.engine.metrics.summary()["batches"] == 2 and "brooklet_batches 2" in c.engine.metrics.prometheus()
+    members = c.engine.create_shape("users", "id IN (SELECT id FROM users WHERE age IN (SELECT age FROM users))")
+    assert c.engine.subqueries() == {"users|id|I(age,false,users|age|*)": 1, "users|age|*": 1}
+    assert {r["op"] for r in c.engine.trace(members).collect()} == {"upsert"}
