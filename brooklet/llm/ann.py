@@ -15,8 +15,8 @@ list that holds a third of all vectors is many tasks' work.
 
 Defined cases: vectors that are null, empty, zero, of another length than the most frequent
 one, or hold null or non-finite components take no part, as queries or candidates; a null id
-takes no part; ties go to the smaller id; equal vectors all compete; an id that repeats
-competes with each of its rows but its own; an empty table gives no rows.
+takes no part; ties go to the smaller id; equal vectors all compete; an id that repeats is one
+row, with the smallest of its vectors; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def _parts(vectors: DataFrame) -> DataFrame:
     fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.filter(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
     dim = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.filter(F.size("v") == dim[0]["n"]) if dim else v
+    return v.filter(F.size("v") == dim[0]["n"]).groupBy("id").agg(F.min("v").alias("v")) if dim else v
 
 
 def search(vectors: DataFrame, every: int, k: int) -> DataFrame:

@@ -104,4 +104,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; every column passes unchanged."""
     gone = contaminated(docs, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = common.Scratch(spark, "decontaminate-gone").cut(gone, "gone")
-    return docs.join(common.if_small(gone, gone.count(), BROADCAST_ROWS), docs["doc_id"] == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(common.if_small(gone, gone.count(), BROADCAST_ROWS), docs["doc_id"] == gone["_gone"], "left_anti").select(*[docs[c] for c in docs.columns])

@@ -50,7 +50,7 @@ def _grams(host: str, path: str) -> list[int]:
     return [int(hashlib.md5(s[i : i + n].encode()).hexdigest()[:4], 16) % BUCKETS for n in GRAMS for i in range(len(s) - n + 1)]
 
 
-def fit(rows: list[tuple[str, str, int]] | None = None, rounds: int = 200, rate: float = 4.0, decay: float = 1e-4) -> tuple[list[float], float]:
+def fit(rows: list[tuple[str, str, int]] | None = None, rounds: int = 600, rate: float = 8.0, decay: float = 1e-5) -> tuple[list[float], float]:
     """(weights, bias). A url's score is the mean of its n-grams' weights plus the bias."""
     data = [(_grams(h, p), y) for h, p, y in rows or labelled_urls()]
     w, bias = [0.0] * BUCKETS, 0.0

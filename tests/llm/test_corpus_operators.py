@@ -1,0 +1,307 @@
+"""Near duplicates, decontamination, neighbours, WARC, URLs and the pipeline: against brute force."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brooklet.llm import ann, common, components, decontaminate, langid, neardup, secrets, sentencepiece_fst, url_filter, warc
+
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def _set(text, w):
+    words = _WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return frozenset(tuple(words[i : i + w]) for i in range(max(1, len(words) - w + 1))) if words else frozenset()
+
+
+def _components(texts, w):
+    """{id: smallest id reachable}, over all pairs."""
+    sets = {i: _set(t, w) for i, t in texts.items()}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            n = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    return {i: root(i) for i in ids}, sets
+
+
+def _near_texts(seed=7):
+    """Chains, stars and copies: each copy changes some words of an earlier one."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else f"w{rng.randrange(3000)}"
+    texts = []
+    for _ in range(40):
+        texts.append([word() for _ in range(rng.choice([1, 2, 3, 8, 40, 120, 400]))])
+    for _ in range(140):
+        t = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 0, 1, 2, 4, max(1, len(t) // 12), max(1, len(t) // 8)])):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    hot = [word() for _ in range(80)]
+    for _ in range(60):  # a large group of near copies, many of whose pairs are not linked
+        t = list(hot)
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    rng.shuffle(texts)
+    out = {i: " ".join(t) for i, t in enumerate(texts)}
+    return out | {1000: None, 1001: "", 1002: " \t\n\x0b", 1003: out[5].upper(), 1004: out[5].replace(" ", "\n "), 1005: "É", 1006: "é", 1007: "a b", 1008: "A\x0cB"}
+
+
+@pytest.mark.parametrize("w", [2, 5])
+def test_near_duplicates_equal_all_pairs(spark, tmp_path, w):
+    texts = _near_texts()
+    want, sets = _components(texts, w)
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in texts.items()] + [(None, "the of and", 1, "k"), (1007, "a b", 1, "k")], "doc_id long, text string, n int, key string")
+    got = neardup.near_duplicates(docs, w).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+            continue
+        assert r["component_id"] == want[r["doc_id"]], r
+        assert r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == r["component_id"])
+    if w == 5:
+        kept = neardup.stage(spark, docs, "")
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
+
+
+def test_near_duplicates_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert neardup.near_duplicates(none).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [(r["component_id"], r["kept"]) for r in neardup.near_duplicates(blank).orderBy("doc_id").collect()] == [(1, True), (2, True)]
+
+
+def test_signature_distance_is_guaranteed():
+    """Any two signatures within the threshold share a key, and the packed distance never exceeds it."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 16, neardup.K)
+        b = a.copy()
+        b[rng.choice(neardup.K, neardup.ERRORS, replace=False)] = rng.integers(0, 1 << 16, neardup.ERRORS)
+        chunks = [(a[c * neardup.WIDTH : (c + 1) * neardup.WIDTH] != b[c * neardup.WIDTH : (c + 1) * neardup.WIDTH]).sum() for c in range(neardup.CHUNKS)]
+        assert min(chunks) <= neardup.ERRORS // neardup.CHUNKS == 1
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3)]
+    up = {}
+    root = lambda i: i if up.setdefault(i, i) == i else root(up[i])
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = root(a), root(b)
+            up[max(p, q)] = min(p, q)
+    got = components.components(common.Scratch(spark, "test"), spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: root(i) for i in up}
+
+
+def _plain_words(text):
+    return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
+
+
+def _shingles5(text):
+    w = _plain_words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _leak_tables(seed=9):
+    rng = random.Random(seed)
+    word = lambda: f"word{rng.randrange(500)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([2, 5, 9, 15, 40, 70])))) for i in range(30)] + [(90, None), (91, ""), (92, "!!"), (93, "Same words here now again ok"), (94, "same words HERE, now again ok")]
+    docs = []
+    for i in range(150):
+        body = [word() for _ in range(rng.choice([3, 30, 300]))]
+        if i % 3 == 0:
+            passage = rng.choice(items[:30])[1].split()
+            cut = rng.choice([0, 0, len(passage) // 10, len(passage) // 4])
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = [w.upper() + "," for w in passage[cut:]]
+        docs.append((i, " ".join(body)))
+    docs += [(200, None), (201, ""), (202, items[0][1]), (203, "x " * 20000 + "same words here now again ok"), (None, items[3][1]), (202, items[0][1])]
+    return docs, items
+
+
+def test_decontamination_equals_all_pairs(spark, tmp_path):
+    docs, items = _leak_tables()
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"h": F.lit(1), "_gone": F.lit(2), "item_id": F.lit(3)})
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = {}
+    for i, t in docs:
+        s = _shingles5(t)
+        held.setdefault(i, set()).update(k for k, x in items if _shingles5(x) and 5 * len(_shingles5(x) & s) >= 4 * len(_shingles5(x)))
+    got = decontaminate.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and sum(bool(x) for x in held.values()) > 30
+    for r in got:
+        want = held[r["doc_id"]] if r["doc_id"] is not None else set()
+        assert (r["n_items"], r["item_id"], r["items"], r["kept"]) == (len(want), min(want, default=None), ",".join(str(x) for x in sorted(want)), not want), r
+    kept = decontaminate.stage(spark, d, str(tmp_path))
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in held.items() if not x} | {None}
+    plan = decontaminate.query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    # beyond the broadcast bound the same result comes by shuffled joins
+    old, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
+    try:
+        assert sorted(map(str, decontaminate.query(spark, str(tmp_path)).collect())) == sorted(map(str, got))
+    finally:
+        decontaminate.BROADCAST_ROWS = old
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(d, bench).count() == 0 and decontaminate.contaminated(d.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+# ---- neighbours
+
+
+def _vectors(spark, x, extra=()):
+    return spark.createDataFrame([(i, v.tolist() if hasattr(v, "tolist") else v, "q") for i, v in x] + list(extra), "vec_id long, embedding array<float>, id string")
+
+
+def _nearest(rows, q, k=5):
+    a = dict(rows)
+    v = np.float64(a[q])
+    s = sorted(((-float((np.float64(x) * v).sum() / (np.sqrt((np.float64(x) ** 2).sum()) * np.sqrt((v**2).sum()))), i) for i, x in rows if i != q))
+    return [(i, -c) for c, i in s[:k]]
+
+
+def test_neighbours_recall_and_scores(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    x[1000:1400] = x[7]  # one vector with many copies
+    rows = list(enumerate(x))
+    got = {}
+    for r in ann.search(_vectors(spark, rows), every=50, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 3000, 50))
+    hit = 0
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
+        want = _nearest(rows, q)
+        hit += len({i for i, _ in want} & {i for _, i, _ in found})
+        for _, i, s in found:
+            v, w = np.float64(x[q]), np.float64(x[i])
+            assert s == pytest.approx(v @ w / np.linalg.norm(v) / np.linalg.norm(w), abs=1e-12)
+    assert hit >= 0.9 * 5 * len(got)
+    assert [i for _, i, _ in got[1000]] == [7, 1001, 1002, 1003, 1004]  # ties go to the smaller id
+
+
+def test_neighbours_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (51, [1.0, 1.0]), (52, [2.0, 2.0])]
+    odd = [(100, None, "q"), (150, [], "q"), (200, [0.0, 0.0], "q"), (250, [nan, 1.0], "q"), (300, [1.0, None], "q"), (350, [inf, 1.0], "q"), (400, [1.0, 2.0, 3.0], "q"), (None, [1.0, 2.0], "q"), (51, [1.0, 1.0], "q")]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(_vectors(spark, [(i, v) for i, v in rows], odd), 50, 5).collect())
+    assert got == [(0, 1, 51), (0, 2, 52), (0, 3, 50), (50, 1, 51), (50, 2, 52), (50, 3, 0)]  # all candidates, if fewer
+    assert ann.search(_vectors(spark, []), 50, 5).count() == 0
+    assert ann.search(_vectors(spark, [(0, [1.0])]), 50, 5).count() == 0
+
+
+# ---- WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "x" * 2000
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    html = {1: "<p>é</p>", 2: None, 3: "", 4: big, 5: big, 6: big, 7: "small", 8: "small", 9: fake * 3, 10: "a\r\n\r\n" + fake + "WARC/1.1\r\n", 11: "\r\n\r\n" * 9, 12: "é" * 500, 13: "é" * 500, 14: "long " * 50000}
+    pages = spark.createDataFrame([(i, None if i == 3 else f"http://h.test/\r\nX: {i}", h, "d", 1) for i, h in html.items()], "page_id long, url string, html string, path string, at int")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in warc.query(spark, str(tmp_path)).collect()}
+    assert set(got) == set(html)
+    for i, h in html.items():
+        data = (h or "").encode()
+        same = [j for j, x in html.items() if (x or "").encode() == data]
+        first = max(same) if len(data) >= 1000 else i
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["record_type"], got[i]["refers_to"], got[i]["valid"]) == (len(data), hashlib.sha1(data).hexdigest(), "response" if first == i else "revisit", None if first == i else first, True)
+    scratch = common.Scratch(spark, "test")
+    warc.write(pages, out := scratch.path("w"), scratch)
+    raw = b"".join(r["content"] for r in spark.read.format("binaryFile").load(out).collect())
+    assert raw.count(b"WARC/1.1\r\n") > len(html) and raw.endswith(b"\r\n\r\n")
+    warc.write(pages.limit(0), empty := scratch.path("e"), scratch)
+    assert warc.read(spark, empty).count() == 0
+
+
+def test_boundary_chain():
+    at, nxt = np.array([0, 10, 15, 30, 40, 7]), np.array([10, 30, 40, 50, 60, 10])
+    assert warc.reached(at, nxt).tolist() == [True, True, False, True, False, False]
+    assert warc.reached(np.array([5]), np.array([9])).tolist() == [False] and warc.reached(np.zeros(0, int), np.zeros(0, int)).tolist() == []
+    n = 1000
+    order = np.random.default_rng(1).permutation(n)
+    assert warc.reached(order * 3, order * 3 + 3).all()
+
+
+# ---- URLs
+
+
+def test_urls(spark):
+    cases = {
+        "http://A.Net/x": ("a.net", "/x", "net/", "block"), "https://www.EXAMPLE.net/en/1?q#f": ("www.example.net", "/en/1", "example.net/en/", "allow"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
+        "http://notexample.com/de/": ("notexample.com", "/de/", None, None), "http://x.org/fr/a": ("x.org", "/fr/a", "org/fr/", "allow"), "http://a.net": ("a.net", "", None, None), "http://a.net?x=/": ("a.net", "", None, None), "http://example.net/en": ("example.net", "/en", "net/", "block"),
+        "": ("", "", None, "allow"), None: ("", "", None, "allow"), "no scheme.net/": ("", "", None, "allow"), "x://y://z.net/": ("y:", "//z.net/", None, None), "http://É.net/\n": ("É.net", "/\n", "net/", "block"), "http://cheap-pills.site.test/": ("cheap-pills.site.test", "/", None, "block"),
+        "http://wiki.site.test/en/1": ("wiki.site.test", "/en/1", None, "allow"), "http://h.test/" + "a" * 50000: ("h.test", "/" + "a" * 50000, None, None),
+    }
+    df = spark.createDataFrame([(u, 1, "x") for u in cases], "url string, host int, verdict string")
+    for r in df.select("url", url_filter.judge(F.col("url")).alias("j")).collect():
+        host, path, rule, verdict = cases[r["url"]]
+        assert (r["j"]["host"], r["j"]["path"], r["j"]["rule"]) == (host, path, rule) and r["j"]["verdict"] in (verdict or "allow block").split(), r
+    w, bias = url_filter.model()
+    right = 0
+    for h, p, y in url_filter.labelled_urls():
+        g = url_filter._grams(h, p)
+        right += (sum(w[i] for i in g) / len(g) + bias > 0) == y
+    assert right >= 0.98 * len(url_filter.labelled_urls())
+    assert "Python" not in df.select(url_filter.judge(F.col("url")))._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- the pipeline
+
+
+def test_pipeline_equals_its_brute_force_version(spark, tmp_path):
+    import sentencepiece
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    vocabulary = {"en": "the of and river wind over hill shall where house light".split(), "de": "der und die fluss wind über hügel soll wohin haus licht".split()}
+    texts = [" ".join(rng.choices(vocabulary[rng.choice(["en", "de"])], k=rng.choice([6, 40, 90]))) for _ in range(60)]
+    items = [(i, " ".join(f"bench{rng.randrange(400)}" for _ in range(20))) for i in range(5)]
+    for i in range(0, 60, 9):
+        texts[i] += " " + items[i % 5][1].upper() + ". " + texts[i + 1]
+    for i in range(2, 60, 7):
+        texts[i] += f' api_key = "{"".join(rng.choices("0123456789abcdef", k=40))}" end'
+    texts += texts[:6] + [t + " extra" for t in texts[20:25]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(900, None, "en", "s", None), (901, "", "en", None, 0), (902, "12 34 !", None, "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    left = {r[0]: r[1] for r in rows}
+    model = langid.fit(docs)
+    left = {i: t for i, t in left.items() if not model.predict([t])[2][0]}
+    assert not {900, 901, 902} & set(left) and len(left) == len(texts)
+    group, _ = _components(left, 5)
+    left = {i: t for i, t in left.items() if group[i] == i}
+    left = {i: t for i, t in left.items() if not any(5 * len(_shingles5(x) & _shingles5(t)) >= 4 * len(_shingles5(x)) for _, x in items)}
+    left = {i: secrets.redact(t) for i, t in left.items()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_path(sentencepiece_fst.DEFAULT))
+    want = {i: (lib.encode(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in left.items()}
+    assert 30 < len(want) < len(texts) - 10 and all("api_key" not in t or "[SECRET]" in t for t in left.values())
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in got} == want and len(got) == len(want)
+    steps = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        steps = stage(spark, steps, str(tmp_path))
+        assert steps.columns == docs.columns and [f.dataType for f in steps.schema] == [f.dataType for f in docs.schema], name
