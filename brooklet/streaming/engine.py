@@ -557,7 +557,7 @@ class LiveEngine:
     def _advance_aggregates(self, im: DataFrame, t: str, found: dict[str, _Shape], version: int) -> None:
         gone = im.filter("old is not null").select("old.*").withColumn(zset.WEIGHT, F.lit(-1).cast("long"))
         come = im.filter("new is not null").select("new.*").withColumn(zset.WEIGHT, F.lit(1).cast("long"))
-        before = {i: self.value(i).first() for i in found}
+        before = self._values_of(found)
         self._record_aggregates(gone.unionByName(come), found, version, f"t-{t}")
         was, self.version = self.version, version
         try:
@@ -568,10 +568,9 @@ class LiveEngine:
     def _feed_aggregates(self, found: dict[str, _Shape], version: int, what: str, before: dict | None) -> None:
         """One row {value, n} per aggregate: first always, later when its value changes."""
         rows = []
-        for i in found:
-            now = self.value(i).first()
-            if before is None or before[i]["value"] != now["value"]:
-                rows.append((i, AGG_KEY, "upsert", {"value": None if now["value"] is None else str(now["value"]), "n": str(now["n"])}, None, version))
+        for i, (value, n) in self._values_of(found).items():
+            if before is None or before[i][0] != value:
+                rows.append((i, AGG_KEY, "upsert", {"value": None if value is None else str(value), "n": str(n)}, None, version))
         if rows:
             self._write(self.spark.createDataFrame(rows, FEED), self._feed_path(version, f"{what}-values"))
 
@@ -584,6 +583,34 @@ class LiveEngine:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self.store.path(f"agg/{n}") for n in names])
 
+    def _values_of(self, found: dict[str, _Shape]) -> dict[str, tuple]:
+        """(value, n) of many aggregates at once; one row each reaches the driver."""
+        ids = self.spark.createDataFrame([(i, s.record.since) for i, s in found.items()], "shape_id string, since bigint")
+        mine = lambda kind, schema: self._agg_parts(kind, schema).join(F.broadcast(ids) if len(found) <= route.BROADCAST_ROWS else ids, "shape_id").filter("version >= since")
+        sums = {r["shape_id"]: r for r in mine("sums", self._AGG).groupBy("shape_id").agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("total").alias("total")).collect()}
+        best: dict[str, tuple] = {}
+        by_type: dict[str, list[str]] = {}
+        for i, s in found.items():
+            if s.record.fn in ("min", "max"):
+                by_type.setdefault(self.schemas[s.record.table].struct()[s.record.col].dataType.simpleString(), []).append(i)
+        if by_type:
+            held = mine("bags", self._BAG).groupBy("shape_id", "v").agg(F.sum("w").alias("w")).filter("w > 0")
+            for kind, names in by_type.items():
+                v = F.col("v").cast(kind)
+                best |= {r["shape_id"]: (r["low"], r["high"]) for r in held.filter(F.col("shape_id").isin(names)).groupBy("shape_id").agg(F.min(v).alias("low"), F.max(v).alias("high")).collect()}
+        out = {}
+        for i, s in found.items():
+            r, fn = sums.get(i), s.record.fn
+            n, nn, total = (r["n"] or 0, r["nn"] or 0, r["total"]) if r else (0, 0, None)
+            if fn == "count":
+                value = n if s.record.col is None else nn
+            elif fn in ("sum", "avg"):
+                value = None if not nn else total / nn if fn == "avg" else total
+            else:
+                value = best.get(i, (None, None))[fn == "max"]
+            out[i] = (value, n)
+        return out
+
     def _compact_aggregates(self, version: int) -> None:
         """Fold the aggregates' parts of many batches into one; readers see either, never both."""
         names = [n for n in self._agg_names() if int(n.split("-")[0]) <= version]
