@@ -3,15 +3,18 @@ readers, and Arrow batch sizing."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so the default of 10,000 is too many.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,3 +75,16 @@ def if_small(side: DataFrame, rows: int, most: int) -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file; the folder is a parameter (``BROOKLET_TOKENIZERS``)."""
     return os.path.join(os.environ.get("BROOKLET_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def releasing(batches: Iterator, *forget: Callable[[], None]) -> Iterator:
+    """The same batches; at their end a task forgets what it remembered and gives its memory back.
+    Python workers live on, and the next stage of a pipeline needs the room."""
+    try:
+        yield from batches
+    finally:
+        for f in forget:
+            f()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)

@@ -64,8 +64,8 @@ class Model:
         n = len(texts)
         lang, score, out = [UND] * n, np.zeros(n), [True] * n
         live = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
-        for at in range(0, len(live), 256):
-            part = live[at : at + 256]
+        for at in range(0, len(live), 128):
+            part = live[at : at + 128]
             counts = [trigram_counts(texts[i]) for i in part]
             x = np.sqrt(np.stack(counts)).astype(np.float32) * self.idf
             norm = np.linalg.norm(x, axis=1)
@@ -105,9 +105,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     picked = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1 << 20)) < share)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in common.releasing(batches):
             kept = [(l, trigram_counts(t)) for l, t in zip(b["l"], b["t"], strict=True) if has_letter(t)]
-            yield pd.DataFrame({"l": [l for l, _ in kept], "i": [np.flatnonzero(c) for _, c in kept], "c": [c[c > 0] for _, c in kept]})
+            cols = {"l": [l for l, _ in kept], "i": [np.flatnonzero(c) for _, c in kept], "c": [c[c > 0] for _, c in kept]}
+            yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in cols.items()})
 
     common.small_batches(labelled.sparkSession)
     got = picked.select("l", "t").mapInPandas(sparse, "l string, i array<int>, c array<int>").toPandas()
@@ -135,7 +136,7 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
+        for s in common.releasing(batches):
             lang, score, out = model.predict(s.tolist())
             yield pd.DataFrame({"lang": lang, "score": score, "rejected": out})
 

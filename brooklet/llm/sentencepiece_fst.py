@@ -175,6 +175,11 @@ class Transducer:
             known.pop(w, None)
         return np.frombuffer(flat, dtype=np.int32)
 
+    def forget(self) -> None:
+        self._known.clear()
+        self._after.clear()
+        self._weighed = 0
+
     def decode(self, ids) -> str:
         """The text of piece ids: the inverted transducers, with the space before it removed."""
         text = b"".join(map(self._surface().__getitem__, ids)).decode("utf-8", "replace")
@@ -198,14 +203,14 @@ def transducer(path: str) -> Transducer:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
-    for b in batches:
+    for b in common.releasing(batches, t.forget):
         ids = [None if x is None else t.encode(x) for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
-    for b in batches:
+    for b in common.releasing(batches):
         col, texts = b.column(1), []
         flat, off = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
         ok = col.is_valid().to_pylist()
@@ -214,6 +219,10 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([b.column(0), col, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
 
+def _both(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    return _decoded(_encoded(batches, path), path)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of docs(doc_id, text)."""
     common.small_batches(docs.sparkSession)
@@ -227,13 +236,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, path), "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded) of docs(doc_id, text): encode and decode in one pass of one worker."""
+    common.small_batches(docs.sparkSession)
+    path = path or common.tokenizer_path(DEFAULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _both(b, path), "doc_id long, ids array<int>, decoded string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text, and a digest of them and of the text decoded from them."""
-    got = decode(encode(common.read(spark, sf_dir, "documents")))
+    got = round_trip(common.read(spark, sf_dir, "documents"))
     return got.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_sha256) of every document."""
-    got = decode(encode(docs))
+    got = round_trip(docs)
     return got.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -18,7 +18,7 @@ UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 UNK_PENALTY = 10.0
 #: Remembered pairs and words of one worker; beyond, the memory starts anew.
-MOST_PAIRS, MOST_WORDS = 2_000_000, 400_000
+MOST_PAIRS, MOST_WORDS = 400_000, 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:

@@ -101,6 +101,11 @@ class Counter:
                     count[j] = count[at] + (len(text[at].encode("utf-8", "replace")) if m.byte_fallback else not run[at])
         return count[n]
 
+    def forget(self) -> None:
+        self._known.clear()
+        self._after.clear()
+        self._weighed = 0
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
@@ -146,7 +151,7 @@ def tokens(text: Column, path: str | None = None) -> Column:
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = counter(path)
-        for s in batches:
+        for s in common.releasing(batches, c.forget):
             yield pd.Series([c.count(t) for t in s], dtype="int64")
 
     return run(text)

@@ -195,6 +195,8 @@ def test_sentencepiece_queries(spark, table, edge):
         assert r["n_pieces"] == want[r["doc_id"]] and r["decoded_sha256"] == (None if text is None else hashlib.sha256(text.encode()).hexdigest())
     assert {(r["doc_id"], r["n_tokens"]) for r in token_count.query(spark, table).collect()} == {(i, n or 0) for i, n in want.items()}
     assert sentencepiece_fst.query(spark, f"{table}-empty").count() == 0 == token_count.query(spark, f"{table}-empty").count()
+    apart = sentencepiece_fst.decode(sentencepiece_fst.encode(edge)).collect()
+    assert sorted(map(str, apart)) == sorted(map(str, sentencepiece_fst.round_trip(edge).collect()))
     assert sentencepiece_fst.stage(spark, edge, "").columns == ["doc_id", "n_pieces", "ids", "decoded_sha256"]
 
 
