@@ -13,9 +13,14 @@ Steps: documents with equal sets are one class, named by its smallest doc_id; on
 on. Keys held by one class are dropped at once. Then, in TURNS rounds, the members of a key
 meet its leader (an aggregation, combined before its shuffle), never each other; confirmed
 pairs give components, and a key whose members are all in one component is settled and
-dropped. Leaders change with the round. For the keys that remain, exactly the pairs from
-different components, of compatible sizes and within T, are confirmed: no pair is capped,
-dropped or sampled, and a key that holds one large settled group costs nothing further.
+dropped. The first leader is the member with the most company over all its keys, which in a
+group of copies is the text that they were copied from; later ones change with the round. For
+the keys that remain, the pairs from different components, of compatible sizes and within T,
+are confirmed: no pair is capped, dropped or sampled. Most of them are told apart without being
+made: each document that has a possible partner gets a bitmap of its set's hashes, and a bit
+that only one of two documents has is a shingle that the other lacks, which bounds what they
+share, and so their similarity, exactly. In a group of copies that were changed a little too
+much to be linked, this leaves next to no pair.
 
 Defined cases: null, empty or blank text has an empty set, linked with nothing; a null doc_id
 takes no part, has a null component and is kept; rows that repeat a doc_id are one document and
@@ -28,6 +33,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +45,14 @@ K, CHUNKS, ERRORS, TURNS = 48, 12, 23, 3
 WIDTH = K // CHUNKS
 #: Words of 64 bits that hold the signature's low 4 bits a symbol.
 PACKED = K // 16
+#: Words of 64 bits in the bitmap of a set; members of a key up to which its pairs are joined, and
+#: members of one block of a larger key.
+BITMAP, SMALL_KEY, BLOCK = 64, 32, 1024
 #: Ids up to this many are broadcast to fetch texts, and classes (about 60 bytes each) to fetch
 #: signatures; beyond, those joins shuffle.
-BROADCAST_IDS, BROADCAST_CLASSES = 4_000_000, 600_000
+BROADCAST_IDS, BROADCAST_CLASSES = 1_000_000, 600_000
 #: Words that a worker remembers the hash of; beyond, the memory starts anew.
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _words: dict[bytes, int] = {}
 _rng = np.random.default_rng(20240501)
 _MUL = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +93,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
     shift = np.uint64(4) * np.arange(16, dtype=np.uint64)
-    for b in batches:
+    for b in common.releasing(batches, _words.clear):
         n, d1, d2, packed, sig = [], [], [], [[] for _ in range(PACKED)], []
         for t in b.column(1).to_pylist():
             s = shingle_set(t, w)
@@ -109,11 +118,21 @@ _SIGNED = "doc_id long, n long, d1 long, d2 long, " + "".join(f"{p} long, " for
 
 
 def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in common.releasing(batches, _words.clear):
         got = [shingle_set(t, w).view(np.int64) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "s"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
+    for b in common.releasing(batches, _words.clear):
+        maps = []
+        for t in b.column(1).to_pylist():
+            on = np.zeros(64 * BITMAP, dtype=np.uint8)
+            on[shingle_set(t, w) & np.uint64(64 * BITMAP - 1)] = 1
+            maps.append(np.packbits(on).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.list_(pa.int64()))], ["id", "bits"])
+
+
 def _keys(classes: DataFrame) -> DataFrame:
     """One row per class and key: the symbols of each chunk but one."""
     each = [F.xxhash64(F.lit(c * WIDTH + out), *[F.col("sig")[c * WIDTH + j] for j in range(WIDTH) if j != out]) for c in range(CHUNKS) for out in range(WIDTH)]
@@ -148,18 +167,66 @@ def _confirm(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, w: int)
     return out
 
 
+def _within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one pair of blocks: from different components, of compatible sizes, within T, and
+    similar as far as their bitmaps tell. A bit that only one document has is a shingle that the
+    other lacks, so each lacks at least as many as the other has bits of its own."""
+    _, i, j = key
+    pdf = pdf.sort_values("id", kind="stable")
+    ids, n, comp = (pdf[c].to_numpy() for c in ("id", "n", "comp"))
+    packed = pdf[_PACKED].to_numpy().view(np.uint64)
+    bits = np.vstack(pdf["bits"].to_numpy()).view(np.uint64)
+    here = pdf["block"].to_numpy() == i
+    low = np.uint64(0x1111111111111111)
+    us, vs = [], []
+    for a in np.flatnonzero(here):
+        b = np.flatnonzero((comp != comp[a]) & (100 * np.minimum(n, n[a]) >= 80 * np.maximum(n, n[a])) & ((ids > ids[a]) if i == j else ~here))
+        x = packed[b] ^ packed[a]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        b = b[np.bitwise_count(x & low).sum(axis=1) <= ERRORS]
+        shared = np.bitwise_count(bits[b] & bits[a]).sum(axis=1)
+        most = np.minimum(n[a] - (np.bitwise_count(bits[a]).sum(dtype=np.int64) - shared), n[b] - (np.bitwise_count(bits[b]).sum(axis=1, dtype=np.int64) - shared))
+        b = b[180 * most >= 80 * (n[a] + n[b])]
+        us += np.maximum(ids[b], ids[a]).tolist()
+        vs += np.minimum(ids[b], ids[a]).tolist()
+    return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
+
+
 def _led(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each key's members and leader, the first by an order that changes with the turn."""
+    """Pairs of each key's members and leader; whom a key takes for its leader changes with the turn."""
     if turn == 0:
+        lead = members.groupBy("key").agg(F.max_by("id", "company").alias("leader"))
+    elif turn == 1:
         lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     else:
-        lead = members.groupBy("key").agg(F.min(F.xxhash64(F.lit(turn), "id")).alias("o"))
-        lead = members.select("key", F.col("id").alias("leader"), F.xxhash64(F.lit(turn), "id").alias("o")).join(lead, ["key", "o"], "left_semi").drop("o")
+        lead = members.groupBy("key").agg(F.max_by("id", F.xxhash64(F.lit(turn), "id")).alias("leader"))
     met = members.join(lead, "key").filter("id != leader").select(*_pair("id", "leader")).distinct()
     a, b = classes.alias("a"), classes.alias("b")
     return met.join(a, F.expr("u = a.id")).join(b, F.expr("v = b.id")).filter(_fits("a", "b")).select("u", "v")
 
 
+def _rest(scratch: common.Scratch, docs: DataFrame, members: DataFrame, classes: DataFrame, w: int) -> DataFrame:
+    """Every pair (u, v) of members of one key, from different components, that may be similar."""
+    sized = members.select("id", "key", "comp").join(classes, "id")
+    a, b = sized.alias("a"), sized.alias("b")
+    # who has a possible partner at all: one row for each member, not for each pair
+    near = scratch.cut(a.join(b, F.expr("a.key = b.key and a.comp != b.comp and " + _fits("a", "b")), "left_semi").select("id").distinct(), "near")
+    few = common.if_small(near, near.count(), BROADCAST_IDS)
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
+    maps = scratch.cut(texts.mapInArrow(lambda b: _bitmaps(b, w), "id long, bits array<long>").dropDuplicates(["id"]), "bitmaps")
+    left = scratch.cut(sized.join(maps.select("id"), "id", "left_semi"), "left")
+    held = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    a, b = left.join(held.filter(f"c <= {SMALL_KEY}"), "key").alias("a"), left.alias("b")
+    small = a.join(b, F.expr("a.key = b.key and b.comp < a.comp and " + _fits("a", "b"))).select(*_pair("a.id", "b.id"))
+    # a larger key is dealt out in blocks, and each pair of blocks is one group
+    n = F.ceil(F.col("c") / BLOCK).cast("int")
+    large = left.join(held.filter(f"c > {SMALL_KEY}"), "key").join(maps, "id").withColumns({"blocks": n, "block": F.pmod(F.xxhash64(F.lit("block"), "id"), n).cast("int")})
+    cells = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    found = cells.select("key", "i", "j", "block", "id", "n", "comp", *_PACKED, "bits").groupBy("key", "i", "j").applyInPandas(_within, "u long, v long")
+    return scratch.cut(small.union(found).distinct(), "rest")
+
+
 def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -174,8 +241,10 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
 
     # keys that several classes hold; one pass to count, one to take their members
     keys = _keys(every)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    members = scratch.cut(keys.join(shared, "key", "left_semi"), "members")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    members = scratch.cut(keys.join(shared, "key"), "members")
+    company = members.groupBy("id").agg(F.sum("c").alias("company"))
+    members = scratch.cut(members.select("id", "key").join(company, "id"), "company")
     links = comp = None
     for turn in range(TURNS):
         new = _led(members, classes, turn)
@@ -184,16 +253,12 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
         links = found if links is None else scratch.cut(links.union(found), "links")
         comp = scratch.cut(components(scratch, links), "components")
         placed = members.select("id", "key").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
-        opened = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2").select("key", "lo")
-        members = scratch.cut(placed.join(opened, "key").select("id", "key", "comp", "lo"), "open")
+        opened = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2").select("key")
+        members = scratch.cut(placed.join(opened, "key").select("id", "key", "comp"), "open")
         if members.isEmpty():
             break
 
-    # each pair from different components once: the member of the higher component probes
-    sized = members.join(classes, "id")
-    a, b = sized.filter("comp != lo").alias("a"), sized.alias("b")
-    rest = a.join(b, F.expr("a.key = b.key and b.comp < a.comp and " + _fits("a", "b"))).select(*_pair("a.id", "b.id")).distinct()
-    rest = scratch.cut(rest, "rest")
+    rest = _rest(scratch, docs, members, classes, w)
     if not rest.isEmpty():
         links = scratch.cut(links.union(_confirm(scratch, docs, rest, w)), "links")
         comp = scratch.cut(components(scratch, links), "components")

@@ -79,6 +79,20 @@ def test_near_duplicates_equal_all_pairs(spark, tmp_path, w):
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_residual_blocks_lose_nothing(spark, monkeypatch):
+    """Leaders only for keys of two, and tiny blocks: all else is found by the exact comparison."""
+    led = neardup._led
+    monkeypatch.setattr(neardup, "TURNS", 1)
+    monkeypatch.setattr(neardup, "SMALL_KEY", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "_led", lambda members, classes, turn: led(members.join(members.groupBy("key").count().filter("count = 2").select("key"), "key"), classes, turn))
+    texts = {i: t for i, t in _near_texts(21).items() if i % 2 == 0}
+    want, _ = _components(texts, 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()} == want
+    assert len(set(want.values())) < len(want) - 20
+
+
 def test_near_duplicates_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(none).count() == 0
