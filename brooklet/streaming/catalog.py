@@ -1,6 +1,6 @@
 """The durable catalog: one small event per file, replayed on start.
 
-Events: table, created, joined, left, dormant, reactivated, dropped, folded (aggregate state of
+Events: table, created, created_many, joined, left, dormant, reactivated, dropped, folded (aggregate state of
 many batches written as one), and batch (a committed batch with the versions and high-water mark
 that it left). The folded state is all that a restart needs.
 """
@@ -58,6 +58,8 @@ class Catalog:
                     out.tables[e["name"]] = e
                 case "created":
                     out.shapes[e["id"]] = ShapeRecord(**e)
+                case "created_many":
+                    out.shapes |= {r["id"]: ShapeRecord(**r) for r in e["shapes"]}
                 case "joined":
                     out.shapes[e["id"]].refs += 1
                 case "left":

@@ -178,6 +178,44 @@ class LiveEngine:
         self.metrics.create.add(time.monotonic() - began)
         return r.id
 
+    def create_shapes(self, table: str, wheres: list, columns: list[str] | None = None) -> list[str]:
+        """Register many queries at once and return their ids in order. Their snapshots are few plans:
+        one for all without subqueries, one for each family that differs in a subquery's values."""
+        began, cols, ids, new = time.monotonic(), self.schemas[table].projected(columns), [], {}
+        known = {s.record.signature: i for i, s in self.shapes.items()}
+        for where in wheres:
+            p = self.predicate(table, where)
+            sig = f"rows|False|{table}|{canonical(p)}|{','.join(cols)}"
+            if sig in known and known[sig] not in new:
+                ids.append(self._join(sig))
+                continue
+            if sig in known:
+                new[known[sig]].record.refs += 1
+            else:
+                r = ShapeRecord(uuid.uuid4().hex[:16], "rows", table, to_json(p), cols, since=self.version, signature=sig)
+                known[sig], new[r.id] = r.id, _Shape(r, p)
+            ids.append(known[sig])
+        plain = {i: s for i, s in new.items() if not subqueries(s.predicate)}
+        families: dict[tuple, list[_Shape]] = {}
+        for i, s in new.items():
+            if i not in plain:
+                families.setdefault(_template(s) or (i,), []).append(s)
+        out = {"op": F.lit("upsert"), "old": F.lit(None).cast("map<string,string>"), "version": F.lit(self.version).cast("long")}
+        parts = []
+        if plain:
+            schema = self.schemas[table]
+            hit = route.route_all(self.table(table), schema, {i: s.predicate for i, s in plain.items()})
+            parts.append(hit.select(F.col("_query").alias("shape_id"), schema.key().alias("key"), comp.row_text(schema, cols).alias("value")))
+        for found in families.values():
+            parts.append(self._family_rows(found, self.version, None) if len(found) > 1 else self._snapshot(found[0], self.version).drop("version"))
+        for n, rows in enumerate(parts):
+            self._write(rows.withColumns(out), self._feed_path(self.version, f"many-{uuid.uuid4().hex[:8]}-{n}"))
+        self.shapes |= new
+        self.catalog.log("created_many", shapes=[asdict(s.record) for s in new.values()])
+        self.metrics.count("shapes_created", len(new))
+        self.metrics.create.add(time.monotonic() - began)
+        return ids
+
     def release(self, shape_id: str) -> None:
         s = self.shapes[shape_id]
         s.record.refs, s.last_used = max(0, s.record.refs - 1), time.monotonic()
@@ -477,10 +515,6 @@ class LiveEngine:
         s = found[0]
         r, schema = s.record, self.schemas[s.record.table]
         leaf = next(x for x in conjuncts(s.predicate) if isinstance(x, In))
-        plain = And(tuple(x for x in conjuncts(s.predicate) if x is not leaf))
-        cols, _, residual = subquery_template(leaf.where)
-        members = {x.record.id: subquery_template(next(y for y in conjuncts(x.predicate) if isinstance(y, In)).where)[1] for x in found}
-        inner_schema = self.schemas[leaf.table]
         keys = [images[r.table].select("key")] if r.table in images else []
         if leaf.table in images:
             im = images[leaf.table]
@@ -492,17 +526,25 @@ class LiveEngine:
         for k in keys[1:]:
             near = near.union(k)
         near = near.distinct().withColumnRenamed("key", "_k")
-        sides = []
-        for v in (self.version, version):
-            outer = comp.where(self.table(r.table, v), plain).withColumn("_k", schema.key()).join(near, "_k", "left_semi")
-            inner = route.route(comp.where(self.table(leaf.table, v), residual), inner_schema, members, cols)
-            held = inner.select(F.col("_query").alias("shape_id"), F.col(leaf.project).alias("_v")).filter("_v is not null").distinct()
-            hit = outer.join(held, outer[leaf.col] == held["_v"])
-            sides.append(hit.select("shape_id", F.col("_k").alias("key"), comp.row_text(schema, r.columns).alias("value")))
-        a, b = sides[0].alias("a"), sides[1].alias("b")
+        a, b = (self._family_rows(found, v, near).alias(n) for v, n in ((self.version, "a"), (version, "b")))
         both = a.join(b, ["shape_id", "key"], "full_outer").filter("not (map_entries(a.value) <=> map_entries(b.value))")
         return both.select("shape_id", "key", F.when(F.col("b.value").isNull(), "delete").otherwise("upsert").alias("op"), F.col("b.value").alias("value"), F.col("a.value").alias("old"), F.lit(version).cast("long").alias("version"))
 
+    def _family_rows(self, found: list[_Shape], version: int, near: DataFrame | None) -> DataFrame:
+        """(shape_id, key, value) of a family's results at a version; only of the keys in ``near``, if given."""
+        r, schema = found[0].record, self.schemas[found[0].record.table]
+        leaf = next(x for x in conjuncts(found[0].predicate) if isinstance(x, In))
+        plain = And(tuple(x for x in conjuncts(found[0].predicate) if x is not leaf))
+        cols, _, residual = subquery_template(leaf.where)
+        members = {x.record.id: subquery_template(next(y for y in conjuncts(x.predicate) if isinstance(y, In)).where)[1] for x in found}
+        outer = comp.where(self.table(r.table, version), plain).withColumn("_k", schema.key())
+        if near is not None:
+            outer = outer.join(near, "_k", "left_semi")
+        inner = route.route(comp.where(self.table(leaf.table, version), residual), self.schemas[leaf.table], members, cols)
+        held = inner.select(F.col("_query").alias("shape_id"), F.col(leaf.project).alias("_v")).filter("_v is not null").distinct()
+        hit = outer.join(held, outer[leaf.col] == held["_v"])
+        return hit.select("shape_id", F.col("_k").alias("key"), comp.row_text(schema, r.columns).alias("value"))
+
     # ---- aggregates
 
     def _agg_path(self, version: int, what: str) -> str:

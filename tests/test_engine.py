@@ -116,6 +116,17 @@ def test_random_changes(spark, tmp_path, monkeypatch, seed):
     again.run()
     check(again, model, shapes, aggs)
     assert {r["id"] for r in again.rows(next(iter(late))).collect()} == set(model.select("users", "score > 1"))
+    # many at once: plain ones, a family, repeats and one that is known already
+    texts = ["age < 100", "name = 'delta'", "id IN (SELECT owner FROM teams WHERE id = 1)", "id IN (SELECT owner FROM teams WHERE id = 2)", "age < 100", "age > 500", "id NOT IN (SELECT owner FROM teams WHERE id = 2)"]
+    many = again.create_shapes("users", texts)
+    assert many[0] == many[4] and many[5] in shapes and again.shapes[many[0]].record.refs == 2 and len(set(many)) == 6
+    for i, t in zip(many, texts, strict=True):
+        assert {r["id"] for r in again.rows(i).collect()} == set(model.select("users", t)), t
+    assert set(LiveEngine(spark, f"file://{tmp_path}").shapes) == set(again.shapes)
+    write(again, model, [change(rng) for _ in range(30)])
+    again.run()
+    for i, t in zip(many, texts, strict=True):
+        assert {r["id"] for r in again.rows(i).collect()} == set(model.select("users", t)), t
     # dormant, changed meanwhile, awake
     sleeper = again.create_shape("users", "age < 250")
     again.release(sleeper)
