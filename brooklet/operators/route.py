@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brooklet.operators.compile import to_column
-from brooklet.operators.predicate import Predicate, equality_template, necessary_conjunct
+from brooklet.operators.predicate import And, Predicate, canonical, conjuncts, equality_template, necessary_conjunct
 from brooklet.schema import TableSchema
 
 #: Predicates of one projection; generated code has a size limit.
@@ -39,9 +39,9 @@ def families(queries: Queries) -> tuple[dict[tuple[str, ...], dict[str, tuple]],
     return dict(routed), rest
 
 
-def _table(spark: SparkSession, schema: TableSchema, cols: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+def _table(spark: SparkSession, schema: TableSchema, cols: tuple[str, ...], rows: list[tuple], extra: tuple = ()) -> DataFrame:
     struct = schema.struct()
-    fields = [T.StructField("_query", T.StringType()), *(T.StructField(f"_p{i}", struct[c].dataType) for i, c in enumerate(cols))]
+    fields = [T.StructField("_query", T.StringType()), *(T.StructField(f"_p{i}", struct[c].dataType) for i, c in enumerate(cols)), *extra]
     params = spark.createDataFrame(rows, T.StructType(fields))
     return F.broadcast(params) if len(rows) <= BROADCAST_ROWS else params
 
@@ -66,7 +66,7 @@ def evaluate_all(delta: DataFrame, queries: Queries) -> DataFrame:
 
 
 def candidates(delta: DataFrame, schema: TableSchema, queries: Queries) -> DataFrame:
-    """Rows with _query by each query's necessary equality, then its whole predicate; queries
+    """Rows with _query by each query's necessary equality, then the rest of its predicate; queries
     without one are evaluated on all rows."""
     by_col: dict[str, Queries] = defaultdict(dict)
     scan: Queries = {}
@@ -78,12 +78,20 @@ def candidates(delta: DataFrame, schema: TableSchema, queries: Queries) -> DataF
             scan[q] = p
     parts = [evaluate_all(delta, scan)] if scan or not by_col else []
     for col, found in sorted(by_col.items()):
-        near = route(delta, schema, {q: (necessary_conjunct(p).value,) for q, p in found.items()}, (col,))
-        verdicts = [F.when((F.col("_query") == q) & to_column(p), F.lit(True)) for q, p in found.items()]
+        # queries that differ in the value only share the rest of their predicate, and its evaluation
+        rests: dict[str, tuple[int, Predicate]] = {}
+        rows = []
+        for q, p in found.items():
+            leaf = necessary_conjunct(p)
+            rest = And(tuple(x for x in conjuncts(p) if x is not leaf))
+            rows.append((q, leaf.value, rests.setdefault(canonical(rest), (len(rests), rest))[0]))
+        params = _table(delta.sparkSession, schema, (col,), rows, (T.StructField("_rest", T.IntegerType()),))
+        near = delta.join(params, delta[col] == params["_p0"]).drop("_p0")
+        verdicts = [F.when((F.col("_rest") == i) & to_column(rest), F.lit(True)) for i, rest in rests.values()]
         keep = [F.coalesce(*verdicts[at : at + CHUNK], F.lit(False)) for at in range(0, len(verdicts), CHUNK)]
         for k in keep[1:]:
             keep[0] = keep[0] | k
-        parts.append(near.filter(keep[0]))
+        parts.append(near.filter(keep[0]).drop("_rest"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
