@@ -4,7 +4,9 @@ A text becomes a vector of hashed character trigrams (lower-cased UTF-8, anythin
 folded to one space), weighted sqrt(tf) x idf and scaled to unit length. Every language has
 several centroids, found by spherical k-means over a bounded sample of labelled rows; a text
 takes the language of the centroid with the largest cosine. A text is *rejected* if it has no
-letter, or if it has some length and its best cosine lies under the model's distance threshold.
+letter, or if it has some length and its best cosine lies under that language's threshold, a share
+of a low quantile of its own rows' cosines. Rows unlike the others of their label are left out of
+the fit, so that junk among the labelled rows becomes neither a centroid nor a threshold.
 
 Defined cases: null, empty or letterless text gives ``und`` with score 0 and is rejected;
 texts of any length are read whole; ties go to the alphabetically first language; with no
@@ -27,9 +29,13 @@ from . import common
 
 #: Hashed feature space, documents a language may give to the sample, languages, centroids each.
 DIMS, SAMPLE_PER_LANG, MAX_LANGS, CENTROIDS = 8192, 400, 200, 3
-#: Rejected under this share of the lowest cosine that a sample text of REJECT_LEAST trigrams or
-#: more had with its own language; shorter texts say too little to be rejected by distance.
-REJECT_SHARE, REJECT_LEAST = 0.25, 64
+#: Rejected under this share of the REJECT_QUANTILE of the cosines that sample texts of REJECT_LEAST
+#: trigrams or more had with their own language; shorter texts say too little to be rejected by
+#: distance, and up to REJECT_FULL trigrams the threshold falls with the square root of the length.
+REJECT_SHARE, REJECT_QUANTILE, REJECT_LEAST, REJECT_FULL = 0.25, 0.05, 64, 256
+#: A row is like its label if the cosine with its n-th nearest row, n being LIKE_ROWS of the label's
+#: sample, is at least LIKE_SHARE of the label's median.
+LIKE_ROWS, LIKE_SHARE = 0.05, 0.5
 UND = "und"
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -58,7 +64,7 @@ class Model:
     owner: np.ndarray  # index into langs of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray  # of each language, for texts of REJECT_FULL trigrams or more
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
         n = len(texts)
@@ -73,7 +79,8 @@ class Model:
             best = cos.argmax(axis=1)
             for i, j, c, t in zip(part, best, cos[np.arange(len(part)), best], counts, strict=True):
                 lang[i], score[i] = self.langs[self.owner[j]], round(float(min(1.0, max(0.0, c))), 6)
-                out[i] = bool(c < self.reject_below and t.sum() >= REJECT_LEAST)
+                size = int(t.sum())
+                out[i] = bool(size >= REJECT_LEAST and c < self.reject_below[self.owner[j]] * min(1.0, size / REJECT_FULL) ** 0.5)
         return lang, score, out
 
 
@@ -90,6 +97,16 @@ def _sphere_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _alike(x: np.ndarray) -> np.ndarray:
+    """Which rows of one label have enough others near them."""
+    if len(x) < 3:
+        return np.ones(len(x), dtype=bool)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -1)
+    near = -np.partition(-cos, (n := int(np.ceil(LIKE_ROWS * len(x)))) - 1, axis=1)[:, n - 1]
+    return near >= LIKE_SHARE * np.median(near)
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learn from rows with a text and a language. The sample is about ``per_lang`` rows of each
     of the MAX_LANGS most frequent languages, picked by a hash of ``key``; only its count vectors
@@ -97,7 +114,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).filter("t is not null and l is not null and l != 'und'")
     counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
     if not counts:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), 0.0)
+        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     share = F.lit(0)
     for r in counts:
         share = F.when(F.col("l") == r["l"], F.lit(min(1 << 20, -(-(1 << 20) * per_lang // r["count"])))).otherwise(share)
@@ -113,7 +130,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     common.small_batches(labelled.sparkSession)
     got = picked.select("l", "t").mapInPandas(sparse, "l string, i array<int>, c array<int>").toPandas()
     if got.empty:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), 0.0)
+        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     x = np.zeros((len(got), DIMS), dtype=np.float32)
     for r, (i, c) in enumerate(zip(got["i"], got["c"], strict=True)):
         x[r, np.asarray(i, dtype=np.int64)] = c
@@ -124,11 +141,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     x = np.sqrt(x) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     langs = sorted(set(labels))
-    parts = [_sphere_means(x[labels == l], CENTROIDS) for l in langs]
+    parts, below = [], []
+    for l in langs:
+        mine = np.flatnonzero(labels == l)
+        mine = mine[_alike(x[mine])]
+        parts.append(_sphere_means(x[mine], CENTROIDS))
+        own = (x[mine] @ parts[-1].T).max(axis=1)
+        below.append(REJECT_SHARE * float(np.quantile(own[told[mine]] if told[mine].any() else own, REJECT_QUANTILE)))
     cents = np.concatenate(parts).astype(np.float32)
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-    own = [(x[(labels == l) & told] @ p.T).max(axis=1).min(initial=1) for l, p in zip(langs, parts, strict=True)]
-    return Model(langs, owner, cents, idf, float(REJECT_SHARE * min(own)))
+    return Model(langs, owner, cents, idf, np.array(below))
 
 
 def predict(model: Model, text: Column) -> Column:

@@ -74,6 +74,26 @@ def test_language_rejects_by_distance(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*range(200), 902}
 
 
+def test_junk_among_the_labelled_rows_sets_no_threshold(spark):
+    rng = random.Random(6)
+    letters = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(n))
+    blob = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    junk = [f(n) for f, n in ((letters, 40), (letters, 400), (blob, 2000), (blob, 300)) for _ in range(3)] + ["BE!! SCUM!! SCUM!! TION!! A.!! " * 5, "zxqj " * 80]
+    clean = [(i, t, lang) for i, t, lang in _texts(7, 400)]
+    rows = clean + [(1000 + i, t, "en de fr".split()[i % 3]) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    unseen = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Herkes bütün haklardan istifade edebilir.",
+        "static int parse(struct node *n, const char *buf, size_t len) { if (!n || !buf) return -EINVAL; for (size_t i = 0; i < len; i++) n->val[i] = buf[i] ^ 0x5f; return 0; }\n" * 4, letters(300), blob(3000), letters(15),
+    ]
+    model = langid.fit(docs)
+    assert model.predict(unseen)[2] == [True] * len(unseen)
+    lang, _, rejected = model.predict([t for _, t, _ in clean])
+    assert not any(rejected) and lang == [x for _, _, x in clean]
+    assert {r["doc_id"] for r in langid.stage(spark, docs, "").collect()} == {i for i, _, _ in clean}
+
+
 # ---- secrets
 
 _A = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
