@@ -8,7 +8,7 @@ without a payload that refer to it. Files hold at most RECORDS_PER_FILE records.
 
 Reading: a payload may hold anything, record headers too. Each file's task finds every
 place that looks like a record and computes where its successor would begin, from its header
-and length; these candidate -> successor offsets are a table. Pointer jumping from offset 0 of
+(of any length) and length; these candidate -> successor offsets are a table. Pointer jumping from offset 0 of
 each file (every offset learns its 2^k-th successor, round by round) keeps what the chain
 reaches, and so rejects what merely stands inside a payload. A file is one task's work; archives
 are cut by the writer, so its size is bounded.
@@ -35,6 +35,7 @@ from . import common
 REVISIT_BYTES, RECORDS_PER_FILE = 1000, 4000
 BROADCAST_ROWS = 1_000_000
 END, MAGIC = "\r\n\r\n", b"WARC/1.1\r\n"
+AFTER = END.encode() + MAGIC  # a record begins its file or follows a record end
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC standard
 _SCHEMA = "path string, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, valid boolean"
@@ -89,9 +90,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             buf, rows = data.as_buffer(), []
             raw, view = buf.to_pybytes(), memoryview(buf)
-            at = raw.find(MAGIC)
-            while at >= 0:
-                head = raw.find(b"\r\n\r\n", at, at + 65536)
+            at = 0 if raw.startswith(MAGIC) else raw.find(AFTER)
+            while at >= 0:  # a header of any length, which ends before the next candidate
+                at += 4 * raw.startswith(AFTER, at)
+                head = raw.find(b"\r\n\r\n", at)
                 found = {k.lower(): v.strip() for k, v in _HEADER.findall(raw[at + len(MAGIC) : head].replace(b"\r\n", b"\n"))} if head >= 0 else {}
                 length = found.get(b"content-length", b"")
                 if length.isdigit():
@@ -106,7 +108,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if kind == "revisit":
                             digest, size = told, int(found.get(b"warc-payload-length", b"0") or 0)
                         rows.append((path, at, stop + 4, page and int(page[1]), kind, refers and int(refers[1]), size, digest, digest == told))
-                at = raw.find(MAGIC, at + 1)
+                at = raw.find(AFTER, at)
             del raw, view, buf
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]

@@ -248,6 +248,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    long = "data:text/html," + "q" * 200_000
+    urls = {1: "http://h.test/1", 2: long, 3: "http://h.test/WARC/1.1", 4: long + "\r\n\r\nWARC/1.1\r\n", 5: long + "5", 6: "http://h.test/6"}
+    for order in (sorted(urls), sorted(urls, key=lambda i: (i != 2, i))):  # amid others, and first of its file
+        spark.createDataFrame([(i, urls[i], f"<p>{i}") for i in order], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/{order[0]}/pages.parquet")
+        got = warc.query(spark, f"{tmp_path}/{order[0]}").collect()
+        assert sorted((r["page_id"], r["payload_digest"], r["valid"]) for r in got) == [(i, hashlib.sha1(f"<p>{i}".encode()).hexdigest(), True) for i in sorted(urls)]
+
+
 def test_boundary_chain():
     at, nxt = np.array([0, 10, 15, 30, 40, 7]), np.array([10, 30, 40, 50, 60, 10])
     assert warc.reached(at, nxt).tolist() == [True, True, False, True, False, False]
