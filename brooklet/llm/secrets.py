@@ -13,9 +13,10 @@ are ordered assign, access, hex, novel; rows may repeat and extra columns pass f
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import zstandard
@@ -31,11 +32,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-#: Words that make a context sensitive, and how far after one a candidate may begin.
+#: Words that make a context sensitive, and how far before or after one a candidate may be.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "private", "credential", "bearer", "auth", "access_key", "accesskey", "pwd", "signing", "session")
 REACH, CONTEXT, LEAST, NOVEL_SHARE = 48, 256, 16, 0.55
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
+_BLOCK_LINE = re.compile(r"^[ \t]*([A-Za-z0-9+/=]+)[ \t\r]*$", re.M)
 #: Primes the compressor: words of code and configuration that sensitive contexts are full of.
 DICTIONARY = (
     "import export return function class const let var public private static final void string boolean integer "
@@ -74,27 +77,101 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _pieces(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Candidates by start: runs of their letters, cut out around sensitive words unless another
+    sensitive word stands within REACH outside the run."""
+    out, k = [], 0
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while k < len(hits) and hits[k][0] < a:
+            k += 1
+        inside = []
+        for h in hits[k:]:
+            if h[0] >= b:
+                break
+            inside.append(h)
+        n = k + len(inside)
+        if not inside or (k and a <= hits[k - 1][1] + REACH) or (n < len(hits) and hits[n][0] <= b + REACH):
+            out.append((a, b))
+        else:
+            edges = [a, *(x for h in inside for x in h), b]
+            out += [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
+    return out
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """What stands between the BEGIN and END lines of a sensitive kind."""
+    out, stop = [], 0
+    for m in _BLOCK.finditer(text):
+        if m.start() >= stop and _SENSITIVE.search(m[1].lower()):
+            if (stop := text.find("-----END", m.end())) < 0:
+                break
+            out.append((m.end(), stop))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """In reach is what lies within REACH of a sensitive word or of a span that was itself in reach,
+    before or after it, and all of a private block (BEGIN to END) whose first line is sensitive."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change length; only A-Z matters here
         low = text.translate(_LOWER)
     if not any(w in low for w in SENSITIVE):
         return []
-    out, done = [], 0
-    for hit in _SENSITIVE.finditer(low):
-        at = max(hit.end(), done)
-        while m := _CANDIDATE.search(text, at):
-            if m.start() > hit.end() + REACH:
-                break
-            at = done = m.end()
-            s = m.group()
-            if len(s) < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            if novelty(text[max(0, m.start() - CONTEXT) : m.start()], s) >= NOVEL_SHARE:
-                out.append((m.start(), m.end(), "novel"))
-    return out
+    hits = [m.span() for m in _SENSITIVE.finditer(low)]
+    blocks = _blocks(text)
+    pieces, found = _pieces(text, hits), {}
+    busy = _Busy((a, b) for a, b, _ in taken)
+
+    def told(a: int, b: int) -> bool:
+        """Whether a candidate in reach is, or becomes, part of a span."""
+        s = text[a:b]
+        if busy.over(a, b):
+            return True
+        if len(s) < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+            return False
+        if novelty(text[max(0, a - CONTEXT) : a], s) < NOVEL_SHARE:
+            return False
+        found[a] = b
+        return True
+
+    ahead, k, j, rest = -1, 0, 0, []
+    for a, b in pieces:
+        while k < len(hits) and hits[k][1] <= a:
+            ahead, k = max(ahead, hits[k][1] + REACH), k + 1
+        while j < len(blocks) and blocks[j][0] <= a:
+            ahead, j = max(ahead, blocks[j][1]), j + 1
+        near = a <= ahead or (k < len(hits) and b <= hits[k][0] <= b + REACH)
+        if near and told(a, b):
+            ahead = max(ahead, b + REACH)
+            rest.append((a, b, True))
+        else:
+            rest.append((a, b, near))
+    behind = None
+    for a, b, near in reversed(rest):
+        if a in found or (near and busy.over(a, b)) or (behind is not None and not near and behind - b <= REACH and told(a, b)):
+            behind = a
+    for x, y in blocks:  # lines too short or too plain to be measured, between those that are not
+        if any(x <= a < y for a in found) or busy.over(x, y):
+            for m in _BLOCK_LINE.finditer(text, x, y):
+                if m.start(1) not in found and not busy.over(*m.span(1)):
+                    found[m.start(1)] = m.end(1)
+    return [(a, b, "novel") for a, b in sorted(found.items())]
+
+
+class _Busy:
+    """Spans already reported, asked for overlap."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends, most = [], [], 0
+        for a, b in sorted(spans):
+            most = max(most, b)
+            self.starts.append(a)
+            self.ends.append(most)
+
+    def over(self, a: int, b: int) -> bool:
+        n = bisect.bisect_left(self.starts, b)
+        return n > 0 and self.ends[n - 1] > a
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
