@@ -4,11 +4,13 @@ Base spans come from three patterns. The method adds spans of kind ``novel``: st
 sensitive word, measured by the marginal bytes that they add to the compressed text before
 them, with a compressor primed by a dictionary of code words and identifiers. What the
 dictionary and the surroundings explain compresses away; what adds at least NOVEL_SHARE bytes
-a character is reported, unless a base span already covers part of it.
+a character is reported, unless a base span already covers part of it. The values of spans are
+cut out of the surroundings, so that no secret explains another; a further occurrence of a novel
+value, or of a base span's, near a sensitive word is reported too, as kind ``repeat``.
 
 Positions are code points, ends are exclusive. Null and empty texts have no span; overlapping
 spans of different kinds are all kept; texts of any length are read whole; ties in position
-are ordered assign, access, hex, novel; rows may repeat and extra columns pass freely.
+are ordered assign, access, hex, novel, repeat; rows may repeat and extra columns pass freely.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KINDS = ("assign", "access", "hex", "novel")
+KINDS = ("assign", "access", "hex", "novel", "repeat")
 # fixed values: the contract's patterns and least lengths
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -121,18 +123,37 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     hits = [m.span() for m in _SENSITIVE.finditer(low)]
     blocks = _blocks(text)
     pieces, found = _pieces(text, hits), {}
-    busy = _Busy((a, b) for a, b, _ in taken)
+    values = [(ASSIGN.match(text, a).start(2) if k == "assign" else a, b) for a, b, k in taken]
+    busy, known = _Busy((a, b) for a, b, _ in taken), {v for a, b in values for v in _names(text[a:b])}
+    cut = sorted(values)
+
+    def before(a: int) -> str:
+        """The last CONTEXT characters before a place, without the values of spans."""
+        out, at, need = [], a, CONTEXT
+        for i in range(bisect.bisect_left(cut, (a, 0)) - 1, -1, -1):
+            x, y = cut[i]
+            if need <= at - y:
+                break
+            if y < at:
+                out.append(text[y:at])
+                need -= at - y
+            at = min(at, x)
+        return "".join([text[max(0, at - need) : at], *reversed(out)])
 
     def told(a: int, b: int) -> bool:
         """Whether a candidate in reach is, or becomes, part of a span."""
         s = text[a:b]
         if busy.over(a, b):
             return True
-        if len(s) < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            return False
-        if novelty(text[max(0, a - CONTEXT) : a], s) < NOVEL_SHARE:
+        names = _names(s)
+        if any(v in known for v in names):
+            found[a] = (b, "repeat")
+        elif len(s) < LEAST or not _mixed(s) or novelty(before(a), s) < NOVEL_SHARE:
             return False
-        found[a] = b
+        else:
+            found[a] = (b, "novel")
+            known.update(names)
+        bisect.insort(cut, (a, b))
         return True
 
     ahead, k, j, rest = -1, 0, 0, []
@@ -155,8 +176,17 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         if any(x <= a < y for a in found) or busy.over(x, y):
             for m in _BLOCK_LINE.finditer(text, x, y):
                 if m.start(1) not in found and not busy.over(*m.span(1)):
-                    found[m.start(1)] = m.end(1)
-    return [(a, b, "novel") for a, b in sorted(found.items())]
+                    found[m.start(1)] = (m.end(1), "novel")
+    return [(a, b, k) for a, (b, k) in sorted(found.items())]
+
+
+def _mixed(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
+def _names(s: str) -> list[str]:
+    """What a value is known again by: it, and its parts between equals signs, without marks around."""
+    return [v for x in {s, *s.split("=")} if len(v := x.strip("=.~_-")) >= LEAST and _mixed(v)]
 
 
 class _Busy:
@@ -220,7 +250,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", scan(F.col("text")).alias("s"))
     n = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
-    base = F.filter("s", lambda x: x["kind"] != "novel")
+    base = F.filter("s", lambda x: x["kind"].isin(*KINDS[:3]))
     return docs.select("doc_id", *[n(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("s")).alias("spans"), n("novel").alias("n_novel"))
 
 

@@ -152,6 +152,24 @@ def test_secrets_of_many_lines_and_before_their_word():
     assert secrets.redact(far) == far  # out of reach on either side
 
 
+def test_further_copies_of_a_secret():
+    rng = random.Random(9)
+    value, other = ("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(2))
+    text = f"a Authorization: Bearer {value}\nb Authorization: Bearer {value}\nc session={value}. the river {'runs on ' * 9}{value} {'runs on ' * 9}"
+    assert [(text[a:b].split("=")[-1].strip("."), k) for a, b, k in secrets.spans(text)] == [(value, "novel"), (value, "repeat"), (value, "repeat")]
+    assert secrets.redact(text).count(value) == 1  # the one with nothing sensitive near it
+    assert value not in secrets.redact(f'token = "{value}"\nAuthorization: Bearer {value}\n')
+    almost = value[:20] + other[:20]  # half of it is known by then
+    assert almost not in secrets.redact(f"bearer {value} bearer {almost} ")
+
+
+def test_repeats_are_not_in_the_base_columns(spark, tmp_path):
+    value = "q7Rz0LmXw93kTbV5yHs2JdPf8GnC4aUe"
+    spark.createDataFrame([(1, f"auth {value} then bearer {value}")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    (r,) = secrets.query(spark, str(tmp_path)).collect()
+    assert (r["n_assign"], r["n_access"], r["n_hex"], r["n_novel"], r["base_sha256"], r["spans"]) == (0, 0, 0, 1, hashlib.sha256(b"").hexdigest(), "novel:5:37,repeat:50:82")
+
+
 def test_secret_query_and_stage(spark, table, edge):
     got = {r["doc_id"]: r for r in secrets.query(spark, table).collect()}
     empty = hashlib.sha256(b"").hexdigest()
