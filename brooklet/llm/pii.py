@@ -10,25 +10,30 @@ card numbers keep their Luhn sum, dates stay days from 1900 to 2099, octets stay
 separators and letter cases stay where they are, emails keep their domain.
 
 Native: column functions only. What fails validation is left as it is. Null text gives null and
-no finding; empty text none; overlaps are resolved leftmost first; texts are read whole; rows
-may repeat and other columns aren't read.
+no finding; empty text none; overlaps are resolved leftmost first; texts, and values in them, are
+read whole whatever their length; rows may repeat; other columns pass unread.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ROUNDS = 5
-KEY_CONF, DEFAULT_KEY = "spark.brooklet.pii.key", "brooklet-demo-key"
+#: The setting that holds the secret key. Where it is unset a session draws a random one, so that pseudonyms
+#: are linked within the session only and nobody can reverse them afterwards.
+KEY_CONF = "spark.brooklet.pii.key"
 KINDS = ("email", "phone", "date", "ip", "ssn", "card")
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 319 * 229 = 73049 days, up to 2099-12-31
 
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+#: Groups that repeat without bound are possessive: the matcher loops over them and doesn't recurse, however long the text.
 PATTERN = "|".join((
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL})+",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL})++",
     r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     r"(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
@@ -85,12 +90,16 @@ def refill(template: Column, digits: Column) -> Column:
 
 def _turn(half: Column, digest: Column) -> Column:
     """A half string with each letter and digit turned within its class by the digest's bytes."""
-    def one(k: Column) -> Column:
-        c, r = F.substr(half, k, F.lit(1)), F.conv(F.substr(digest, F.pmod(k - 1, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        within = lambda low, n: F.char(F.pmod(F.ascii(c) - low + r, F.lit(n)) + low)
-        return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.conv(F.substr(digest, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
+    def turned(by: Column) -> Column:
+        def one(c: Column, k: Column) -> Column:
+            within = lambda low, n: F.char(F.pmod(F.ascii(c) - low + F.get(by, F.pmod(k, F.lit(32))), F.lit(n)) + low)
+            return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
+
+        return F.array_join(F.transform(_chars(half), one), "")
 
-    return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")).otherwise("")
+    return F.when(F.length(half) > 0, _let(bytes_, turned)).otherwise("")
 
 
 def permute_name(key: str, name: Column) -> Column:
@@ -156,7 +165,8 @@ def pseudonym(key: str, m: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with struct column ``pii``: <text, found array<struct<kind, value>>>."""
+    """docs with struct column ``pii``: <text, found array<struct<kind, value>>>. A column of that name
+    gives way, unless it is the text."""
     raw = F.col(text)
     some = raw.rlike(r"[0-9@]")
     kept = docs.withColumns({"_pii_gaps": F.when(some, F.split(raw, PATTERN, -1)), "_pii_hits": F.when(some, F.regexp_extract_all(raw, F.lit(PATTERN), F.lit(0)))})
@@ -168,8 +178,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return kept.withColumn("pii", out).drop("_pii_gaps", "_pii_hits", "_pii_new")
 
 
+def session_key(spark: SparkSession) -> str:
+    if not spark.conf.get(KEY_CONF, ""):
+        spark.conf.set(KEY_CONF, os.urandom(32).hex())
+    return spark.conf.get(KEY_CONF)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(KEY_CONF, DEFAULT_KEY)
+    key = session_key(spark)
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     got = pseudonymise(docs, key)
     count = lambda kind: F.size(F.filter("pii.found", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
