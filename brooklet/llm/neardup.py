@@ -23,8 +23,10 @@ share, and so their similarity, exactly. In a group of copies that were changed
 much to be linked, this leaves next to no pair.
 
 Defined cases: null, empty or blank text has an empty set, linked with nothing; a null doc_id
-takes no part, has a null component and is kept; rows that repeat a doc_id are one document and
-share its result; an empty table gives no rows; extra columns are not read.
+takes no part, has a null component and is kept; rows that repeat a doc_id are one document, linked
+by any of its texts and with one component (each row has its own n_shingles); an empty table gives
+no rows; extra columns are not read. Classes that share their smallest doc_id share their name:
+they are one document's texts, so a link of either is a link of both.
 """
 
 from __future__ import annotations
@@ -158,11 +160,11 @@ def _confirm(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, w: int)
     ids = scratch.cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
     few = common.if_small(ids, ids.count(), BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
-    sets = scratch.cut(texts.mapInArrow(lambda b: _sets(b, w), "id long, s array<long>").dropDuplicates(["id"]), "sets")
+    sets = scratch.cut(texts.mapInArrow(lambda b: _sets(b, w), "id long, s array<long>").distinct(), "sets")
     one = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
     two = one.join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
-    out = scratch.cut(two.withColumn("i", both).filter("100 * i >= 80 * (size(su) + size(sv) - i)").select("u", "v"), "links")
+    out = scratch.cut(two.withColumn("i", both).filter("100 * i >= 80 * (size(su) + size(sv) - i)").select("u", "v").distinct(), "links")
     scratch.drop(ids, sets)
     return out
 
@@ -214,8 +216,8 @@ def _rest(scratch: common.Scratch, docs: DataFrame, members: DataFrame, classes:
     near = scratch.cut(a.join(b, F.expr("a.key = b.key and a.comp != b.comp and " + _fits("a", "b")), "left_semi").select("id").distinct(), "near")
     few = common.if_small(near, near.count(), BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
-    maps = scratch.cut(texts.mapInArrow(lambda b: _bitmaps(b, w), "id long, bits array<long>").dropDuplicates(["id"]), "bitmaps")
-    left = scratch.cut(sized.join(maps.select("id"), "id", "left_semi"), "left")
+    maps = scratch.cut(texts.mapInArrow(lambda b: _bitmaps(b, w), "id long, bits array<long>").distinct(), "bitmaps")
+    left = scratch.cut(sized.join(maps.select("id"), "id", "left_semi").distinct(), "left")
     held = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     a, b = left.join(held.filter(f"c <= {SMALL_KEY}"), "key").alias("a"), left.alias("b")
     small = a.join(b, F.expr("a.key = b.key and b.comp < a.comp and " + _fits("a", "b"))).select(*_pair("a.id", "b.id"))
@@ -227,6 +229,13 @@ def _rest(scratch: common.Scratch, docs: DataFrame, members: DataFrame, classes:
     return scratch.cut(small.union(found).distinct(), "rest")
 
 
+def _one_document(named: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of doc_ids that repeat with different texts."""
+    held = named.join(first, ["d1", "d2"]).select("doc_id", "id").distinct()
+    apart = held.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("most")).filter("v < most").select("doc_id", "v")
+    return held.join(apart, "doc_id").filter("id != v").select(F.col("id").alias("u"), "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -236,7 +245,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
     signed = scratch.cut(docs.mapInArrow(lambda b: _signed(b, w), _SIGNED), "signed")
     named = signed.filter("doc_id is not null and d1 is not null")
     first = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    every = scratch.cut(named.join(first, ["d1", "d2"]).filter("doc_id = id").dropDuplicates(["id"]).select("id", "d1", "d2", "n", *_PACKED, "sig"), "classes")
+    every = scratch.cut(named.join(first, ["d1", "d2"]).filter("doc_id = id").dropDuplicates(["d1", "d2"]).select("id", "d1", "d2", "n", *_PACKED, "sig"), "classes")
     classes = common.if_small(every.select("id", "n", *_PACKED), every.count(), BROADCAST_CLASSES)
 
     # keys that several classes hold; one pass to count, one to take their members
@@ -245,12 +254,11 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
     members = scratch.cut(keys.join(shared, "key"), "members")
     company = members.groupBy("id").agg(F.sum("c").alias("company"))
     members = scratch.cut(members.select("id", "key").join(company, "id"), "company")
-    links = comp = None
+    comp, links = None, scratch.cut(_one_document(named, first), "links")
     for turn in range(TURNS):
         new = _led(members, classes, turn)
-        new = scratch.cut(new if links is None else new.join(links, ["u", "v"], "left_anti"), "candidates")
-        found = _confirm(scratch, docs, new, w)
-        links = found if links is None else scratch.cut(links.union(found), "links")
+        new = scratch.cut(new.join(links, ["u", "v"], "left_anti"), "candidates")
+        links = scratch.cut(links.union(_confirm(scratch, docs, new, w)), "links")
         comp = scratch.cut(components(scratch, links), "components")
         placed = members.select("id", "key").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
         opened = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2").select("key")
@@ -272,6 +280,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"), w=2)
 
 
+#: All pairs that share a shingle, and what is reachable over the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + 1], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), link AS (
+  SELECT x.r AS a, y.r AS b FROM s x JOIN s y ON x.s = y.s AND x.r < y.r JOIN n p ON p.r = x.r JOIN n q ON q.r = y.r
+  WHERE 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY x.r, y.r, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+  UNION SELECT x.r, y.r FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.r < y.r
+), ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b
+), c AS (SELECT reach.a AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY reach.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN w.doc_id IS NOT NULL THEN component_id END AS component_id, coalesce(w.doc_id = component_id, TRUE) AS kept
+FROM w JOIN c ON c.r = w.r LEFT JOIN n ON n.r = w.r
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five words, 0.8): the smallest doc_id."""
     found = near_duplicates(docs, w=5)

@@ -26,5 +26,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op2_warc": warc.ORACLE, "op6_url_filter": url_filter.oracle(), "op8_decontamination": decontaminate.ORACLE}
+    found = {"op2_warc": warc.ORACLE, "op6_url_filter": url_filter.oracle(), "op8_decontamination": decontaminate.ORACLE, "op9_minhash_neardup": neardup.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
