@@ -4,9 +4,11 @@ A text becomes a vector of hashed character trigrams (lower-cased UTF-8, anythin
 folded to one space), weighted sqrt(tf) x idf and scaled to unit length. Every language has
 several centroids, found by spherical k-means over a bounded sample of labelled rows; a text
 takes the language of the centroid with the largest cosine. A text is *rejected* if it has no
-letter, or if it has some length and its best cosine lies under that language's threshold, a share
-of a low quantile of its own rows' cosines. Rows unlike the others of their label are left out of
-the fit, so that junk among the labelled rows becomes neither a centroid nor a threshold.
+letter, or if its best cosine lies under that language's threshold, a share of a low quantile of its
+own rows' cosines. Short texts have lower cosines by nature: up to FULL trigrams, cosines are
+measured against the square root of the length, in the fit and in the threshold alike. Rows unlike the others of
+their label are left out of the fit, so that junk among the labelled rows becomes neither a centroid
+nor a threshold.
 
 Defined cases: null, empty or letterless text gives ``und`` with score 0 and is rejected;
 texts of any length are read whole; ties go to the alphabetically first language; with no
@@ -27,12 +29,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hashed feature space, documents a language may give to the sample, languages, centroids each.
-DIMS, SAMPLE_PER_LANG, MAX_LANGS, CENTROIDS = 8192, 400, 200, 3
-#: Rejected under this share of the REJECT_QUANTILE of the cosines that sample texts of REJECT_LEAST
-#: trigrams or more had with their own language; shorter texts say too little to be rejected by
-#: distance, and up to REJECT_FULL trigrams the threshold falls with the square root of the length.
-REJECT_SHARE, REJECT_QUANTILE, REJECT_LEAST, REJECT_FULL = 0.25, 0.05, 64, 256
+#: Hashed feature space, centroids of a language, and rows of the sample: of each language, and of all together.
+DIMS, CENTROIDS, SAMPLE_PER_LANG, SAMPLE = 8192, 3, 400, 20_000
+#: Rejected under this share of the REJECT_QUANTILE of the language's own cosines; texts of FULL trigrams
+#: or more count as long. Languages that may be broadcast to pick the sample.
+REJECT_SHARE, REJECT_QUANTILE, FULL, BROADCAST_LANGS = 0.25, 0.05, 256, 100_000
 #: A row is like its label if the cosine with its n-th nearest row, n being LIKE_ROWS of the label's
 #: sample, is at least LIKE_SHARE of the label's median.
 LIKE_ROWS, LIKE_SHARE = 0.05, 0.5
@@ -58,13 +59,18 @@ def trigram_counts(text: str) -> np.ndarray:
     return np.bincount(code & (DIMS - 1), minlength=DIMS)
 
 
+def expected(trigrams) -> np.ndarray:
+    """What cosines of texts of that many trigrams are measured against."""
+    return np.sqrt(np.minimum(1.0, trigrams / FULL))
+
+
 @dataclass
 class Model:
     langs: list[str]
     owner: np.ndarray  # index into langs of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: np.ndarray  # of each language, for texts of REJECT_FULL trigrams or more
+    reject_below: np.ndarray  # of each language, for long texts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
         n = len(texts)
@@ -79,8 +85,7 @@ class Model:
             best = cos.argmax(axis=1)
             for i, j, c, t in zip(part, best, cos[np.arange(len(part)), best], counts, strict=True):
                 lang[i], score[i] = self.langs[self.owner[j]], round(float(min(1.0, max(0.0, c))), 6)
-                size = int(t.sum())
-                out[i] = bool(size >= REJECT_LEAST and c < self.reject_below[self.owner[j]] * min(1.0, size / REJECT_FULL) ** 0.5)
+                out[i] = bool(c < self.reject_below[self.owner[j]] * expected(t.sum()))
         return lang, score, out
 
 
@@ -107,19 +112,18 @@ def _alike(x: np.ndarray) -> np.ndarray:
     return near >= LIKE_SHARE * np.median(near)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG, sample: int = SAMPLE) -> Model:
     """Learn from rows with a text and a language. The sample is about ``per_lang`` rows of each
-    of the MAX_LANGS most frequent languages, picked by a hash of ``key``; only its count vectors
-    (DIMS buckets at most, whatever a text's length) reach the driver."""
+    language, or an equal part of ``sample`` rows for each if there are many, picked by a hash of
+    ``key``; only its count vectors (DIMS buckets at most, whatever a text's length) reach the driver."""
+    none = Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).filter("t is not null and l is not null and l != 'und'")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
-    if not counts:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("l") == r["l"], F.lit(min(1 << 20, -(-(1 << 20) * per_lang // r["count"])))).otherwise(share)
+    counts = common.Scratch(labelled.sparkSession, "langid").cut(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if not (langs_found := counts.count()):
+        return none
+    share = F.ceil((1 << 40) * min(float(per_lang), sample / langs_found) / F.col("n"))
     # hash in two steps, for small ids hash alike otherwise over rows that an id filter chose
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1 << 20)) < share)
+    picked = rows.join(common.if_small(counts, langs_found, BROADCAST_LANGS), "l").filter(F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1 << 40)) < share)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in common.releasing(batches):
@@ -130,24 +134,24 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     common.small_batches(labelled.sparkSession)
     got = picked.select("l", "t").mapInPandas(sparse, "l string, i array<int>, c array<int>").toPandas()
     if got.empty:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    x = np.zeros((len(got), DIMS), dtype=np.float32)
-    for r, (i, c) in enumerate(zip(got["i"], got["c"], strict=True)):
-        x[r, np.asarray(i, dtype=np.int64)] = c
-    order = np.lexsort([x.sum(axis=1), (x @ np.arange(DIMS, dtype=np.float64)), got["l"].to_numpy(dtype=str)])  # arrival order doesn't count
-    x, labels = x[order], got["l"].to_numpy(dtype=object)[order]
-    told = x.sum(axis=1) >= REJECT_LEAST
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.sqrt(x) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    langs = sorted(set(labels))
-    parts, below = [], []
+        return none
+    labels, at, cs = got["l"].to_numpy(dtype=object), [np.asarray(i, dtype=np.int64) for i in got["i"]], [np.asarray(c, dtype=np.float64) for c in got["c"]]
+    sizes = np.array([c.sum() for c in cs])
+    order = np.lexsort([[float((i * c).sum()) for i, c in zip(at, cs, strict=True)], sizes, labels.astype(str)])  # arrival order doesn't count
+    held = np.bincount(np.concatenate(at), minlength=DIMS)
+    idf = (np.log((1 + len(cs)) / (1 + held)) + 1).astype(np.float32)
+    langs, parts, below = sorted(set(labels)), [], []
     for l in langs:
-        mine = np.flatnonzero(labels == l)
-        mine = mine[_alike(x[mine])]
-        parts.append(_sphere_means(x[mine], CENTROIDS))
-        own = (x[mine] @ parts[-1].T).max(axis=1)
-        below.append(REJECT_SHARE * float(np.quantile(own[told[mine]] if told[mine].any() else own, REJECT_QUANTILE)))
+        mine = order[labels[order] == l]
+        x = np.zeros((len(mine), DIMS), dtype=np.float32)
+        for r, m in enumerate(mine):
+            x[r, at[m]] = np.sqrt(cs[m])
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        alike = _alike(x)
+        parts.append(_sphere_means(x[alike], CENTROIDS))
+        own = (x[alike] @ parts[-1].T).max(axis=1) / np.maximum(expected(sizes[mine][alike]), 1e-9)
+        below.append(REJECT_SHARE * float(np.quantile(own, REJECT_QUANTILE)))
     cents = np.concatenate(parts).astype(np.float32)
     owner = np.repeat(np.arange(len(langs)), [len(p) for p in parts])
     return Model(langs, owner, cents, idf, np.array(below))
