@@ -1,12 +1,18 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
 Base spans come from three patterns. The method adds spans of kind ``novel``: strings near a
-sensitive word, measured by the marginal bytes that they add to the compressed text before
-them, with a compressor primed by a dictionary of code words and identifiers. What the
-dictionary and the surroundings explain compresses away; what adds at least NOVEL_SHARE bytes
-a character is reported, unless a base span already covers part of it. The values of spans are
-cut out of the surroundings, so that no secret explains another; a further occurrence of a novel
-value, or of a base span's, near a sensitive word is reported too, as kind ``repeat``.
+sensitive word, measured by the marginal bytes that they add to the compressed text around
+them (letters in one case), with a compressor primed by a dictionary. The dictionary holds words of
+code and configuration, the parts of the standard library's identifiers, and the corpus's own: the
+MOST_WORDS runs of letters that most documents hold, counted over all documents; words with a
+digit, or of one document only, are none, so no secret gets in. What the dictionary and the surroundings
+explain compresses away; what adds at least NOVEL_SHARE bytes a character (less for short strings,
+whose first bytes tell little) is reported, unless a base span already covers part of it. Not reported
+are UUIDs in their canonical form, and strings whose parts between marks are words and numbers,
+with under CORE characters in parts that mix letters and digits: both name things. The
+values of spans are cut out of the surroundings, and of those after it whatever may be one, so that no
+secret explains another; a further occurrence of a novel value, or of a base span's, near a
+sensitive word is reported too, as kind ``repeat``.
 
 Positions are code points, ends are exclusive. Null and empty texts have no span; overlapping
 spans of different kinds are all kept; texts of any length are read whole; ties in position
@@ -16,8 +22,11 @@ are ordered assign, access, hex, novel, repeat; rows may repeat and extra column
 from __future__ import annotations
 
 import bisect
-import hashlib
+import builtins
+import importlib
+import keyword
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -36,7 +45,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 #: Words that make a context sensitive, and how far before or after one a candidate may be.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "private", "credential", "bearer", "auth", "access_key", "accesskey", "pwd", "signing", "session")
-REACH, CONTEXT, LEAST, NOVEL_SHARE = 48, 256, 16, 0.55
+REACH, CONTEXT, LEAST, CORE, NOVEL_SHARE = 48, 256, 16, 10, 0.62
+#: Corpus words in the dictionary, of 4 to LONGEST letters: at most 132 kB.
+MOST_WORDS, LONGEST = 4096, 32
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]+")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----")
@@ -53,20 +64,55 @@ DICTIONARY = (
     "https://www.example.com/ http://localhost:8080/ application/json text/html charset=utf-8 "
     "the and that this with from have for are was not you which their there would about could other "
 )
-_zstd: zstandard.ZstdCompressor | None = None
+#: Modules whose public names are split into words for the dictionary.
+MODULES = "argparse asyncio base64 collections configparser csv ctypes datetime email functools hashlib hmac http.client http.cookies http.server importlib inspect io ipaddress itertools json logging multiprocessing os pathlib pickle platform queue random re sched shutil signal smtplib socket sqlite3 ssl string subprocess tarfile tempfile threading time tokenize traceback types typing unittest urllib.parse urllib.request uuid weakref xml.dom zipfile".split()
+_UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_MARKS = re.compile(r"[-._/~=]+")
+_PART = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 
 
-def _size(data: bytes) -> int:
-    global _zstd
-    if _zstd is None:
-        _zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(_zstd.compress(data))
+def identifier_words() -> str:
+    """The words of the standard library's identifiers, each once, in one case."""
+    names = [*keyword.kwlist, *dir(builtins), *sorted(sys.stdlib_module_names)]
+    for m in MODULES:
+        found = importlib.import_module(m)
+        names += [m, *dir(found), *(n for c in vars(found).values() if isinstance(c, type) for n in vars(c))]
+    return " ".join(dict.fromkeys(w.lower() for n in names for w in _PART.findall(n)))
 
 
-def novelty(before: str, candidate: str) -> float:
-    """Marginal compressed bytes of a candidate after its surroundings, per character."""
-    ctx = before.encode("utf-8", "replace")
-    return (_size(ctx + candidate.encode()) - _size(ctx)) / max(1, len(candidate))
+class Primer:
+    """A compressor primed with the dictionary; the last words of it are the nearest."""
+
+    def __init__(self, words: str = ""):
+        self.data = " ".join((words.lower(), identifier_words(), DICTIONARY.lower())).encode()
+        prime = zstandard.ZstdCompressionDict(self.data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        prime.precompute_compress(level=9)
+        self.zstd = zstandard.ZstdCompressor(dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(self, text: str) -> int:
+        return len(self.zstd.compress(text.lower().encode("utf-8", "replace")))
+
+    def novelty(self, around: str, candidate: str) -> float:
+        """Marginal compressed bytes of a candidate after its surroundings, per character."""
+        return (self.size(around + candidate) - self.size(around)) / max(1, len(candidate))
+
+
+_primers: dict[str, Primer] = {}
+
+
+def primer(words: str = "") -> Primer:
+    """A worker's compressor for a corpus's words; one is kept."""
+    if words not in _primers:
+        _primers.clear()
+        _primers[words] = Primer(words)
+    return _primers[words]
+
+
+def corpus_words(docs: DataFrame, text: str = "text") -> str:
+    """The letter runs that most documents hold, the most frequent last."""
+    runs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"[A-Za-z]{{4,{LONGEST}}}"), F.lit(0)))
+    held = docs.select(F.explode(runs).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return " ".join(r["w"] for r in reversed(held.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -112,7 +158,7 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, taken: list[tuple[int, int, str]], words: str = "") -> list[tuple[int, int, str]]:
     """In reach is what lies within REACH of a sensitive word or of a span that was itself in reach,
     before or after it, and all of a private block (BEGIN to END) whose first line is sensitive."""
     low = text.lower()
@@ -140,6 +186,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
             at = min(at, x)
         return "".join([text[max(0, at - need) : at], *reversed(out)])
 
+    def around(a: int, b: int) -> str:
+        """What stands before and after a candidate; of what follows, nothing that may be a value itself."""
+        return _CANDIDATE.sub(lambda m: "" if len(m[0]) >= LEAST and _mixed(m[0]) else m[0], text[b : b + CONTEXT]) + " " + before(a)
+
     def told(a: int, b: int) -> bool:
         """Whether a candidate in reach is, or becomes, part of a span."""
         s = text[a:b]
@@ -148,7 +198,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         names = _names(s)
         if any(v in known for v in names):
             found[a] = (b, "repeat")
-        elif len(s) < LEAST or not _mixed(s) or novelty(before(a), s) < NOVEL_SHARE:
+        elif len(s) < LEAST or not _mixed(s) or not _opaque(s) or primer(words).novelty(around(a, b), s) < least_novelty(len(s)):
             return False
         else:
             found[a] = (b, "novel")
@@ -180,6 +230,15 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return [(a, b, k) for a, (b, k) in sorted(found.items())]
 
 
+def least_novelty(n: int) -> float:
+    return min(NOVEL_SHARE, 0.85 - 5 / n)
+
+
+def _opaque(s: str) -> bool:
+    """Whether a string is more than words, numbers and marks."""
+    return not _UUID.fullmatch(s) and sum(len(x) for x in _MARKS.split(s) if _mixed(x)) >= CORE
+
+
 def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
@@ -208,21 +267,21 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans of a text as (start, end, kind), by start and then kind."""
+def spans(text: str | None, words: str = "") -> list[tuple[int, int, str]]:
+    """All spans of a text as (start, end, kind), by start and then kind; ``words`` are the corpus's."""
     if not text:
         return []
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base), key=lambda s: (s[0], _RANK[s[2]], s[1]))
+    return sorted(base + novel_spans(text, base, words), key=lambda s: (s[0], _RANK[s[2]], s[1]))
 
 
 def joined(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in found)
 
 
-def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, words: str = "", mark: str = "[SECRET]") -> str | None:
     """The text with the value of every span replaced; a pattern's key and quotes stay."""
-    found = spans(text)
+    found = spans(text, words)
     if not found:
         return text
     cuts = sorted((ASSIGN.match(text, a).start(2) if k == "assign" else a, b) for a, b, k in found)
@@ -234,20 +293,21 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def scan(text: Column) -> Column:
-    """array<struct<kind, start, stop>> of a text column."""
+def scan(text: Column, words: str = "") -> Column:
+    """array<struct<kind, start, stop>> of a text column, with the corpus's words (corpus_words)."""
 
     @F.pandas_udf("array<struct<kind: string, start: int, stop: int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([[{"kind": k, "start": a, "stop": b} for a, b, k in spans(t)] for t in s])
+            yield pd.Series([[{"kind": k, "start": a, "stop": b} for a, b, k in spans(t, words)] for t in s])
 
     return run.asNondeterministic()(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", scan(F.col("text")).alias("s"))
+    docs = common.read(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", scan(F.col("text"), corpus_words(docs)).alias("s"))
     n = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     base = F.filter("s", lambda x: x["kind"].isin(*KINDS[:3]))
@@ -256,10 +316,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; the values of secrets in its text are masked and n_chars follows."""
+    words = corpus_words(docs)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in s], dtype=object)
+        return pd.Series([redact(t, words) for t in s], dtype=object)
 
     common.small_batches(spark)
     out = docs.withColumn("text", run.asNondeterministic()(F.col("text")))
