@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three transducers are compiled from a model file: the normaliser N (spaces squeezed where the
-model says so, a space put before the text, spaces escaped), the pieces P (a trie with an
-arc back to the start, weighted, at the end of each piece) and the byte fallback B (characters
-outside the vocabulary to their UTF-8 byte pieces). Composed with a text they give a lattice,
-and its shortest path in the tropical semiring (min, +) is the encoding. For a unigram model an
-arc weighs minus its piece's score. For a BPE model weights stand between neighbours: 0 if
+Three transducers are compiled from a model file: the normaliser N (the model's rewriting table and
+user symbols, spaces squeezed where the model says so, a space put before the text, spaces
+escaped; spm_model.Normaliser), the pieces P (a trie with an arc back to the start, weighted, at
+the end of each piece) and the byte fallback B (one state, with an arc from each character outside
+the vocabulary to its UTF-8 byte pieces). A text is composed with them lazily: N has one path, whose output
+is composed with the union of P and B as far as the search goes, and the shortest path of that
+lattice in the tropical semiring (min, +) is the encoding. For a unigram model an
+arc weighs minus its piece's score, summed as the library sums them. For a BPE model weights stand
+between neighbours (a fourth transducer, whose states are the pieces): 0 if
 greedy merging leaves the two side by side, infinity otherwise; exactly one path is then
-finite, and it is the tokenizer's own result. Ties cannot occur in BPE; in a unigram model
-the path whose last piece begins first wins. (The library sums unigram scores in single
-precision over the whole text, this in double precision word by word.)
+finite, and it is the tokenizer's own result, found depth-first. Ties cannot occur in BPE; in a
+unigram model the path whose last piece begins first wins.
 
-Since no piece crosses a space after a letter, words are composed one by one and remembered,
-up to a fixed number. Null text gives null; empty text no piece; any length is read whole.
+Since no piece of a BPE model crosses a space after a letter, words are composed one by one and
+remembered, up to a fixed number; unigram models, and models that rewrite, take a text whole.
+Null text gives null; empty text no piece; any length is read whole; rows may repeat, and other columns than
+doc_id and text are not read.
 Decoding is the inverted transducer, with bytes joined to characters (invalid ones to U+FFFD).
 """
 
@@ -26,9 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .spm_model import BPE, BYTE, CONTROL, MOST_PAIRS, MOST_WORDS, SPACE, UNKNOWN, Model, load, words
+from .spm_model import BPE, BYTE, CONTROL, MOST_PAIRS, MOST_WORDS, SPACE, UNKNOWN, Model, load, single, words
 
-INF = float("inf")
 #: Longer words are not remembered.
 LONG = 64
 DEFAULT = "piece_bpe_32k.model"
@@ -38,11 +41,12 @@ class Transducer:
     def __init__(self, model: Model):
         self.model = model
         self.root: dict = {}  # the piece trie; "" holds a state's final piece
-        for piece, i in model.ids.items():
+        for piece, i in (model.ids if model.kind == BPE else {**model.ids, **model.symbols}).items():
             node = self.root
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
+        self._bytes: dict[str, list[int]] = {}  # the byte fallback's arcs, made when first taken
         self._known: dict[str, bytes] = {}
         self._after: dict[int, dict[int, bool]] = {}  # the weights between neighbours: finite or not
         self._weighed = 0
@@ -63,29 +67,35 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """Piece ids on the shortest path through a normalised text."""
-        path = self._finite(text) if self.model.kind == BPE else self._cheapest(text)
+        if self.model.kind != BPE:
+            path = self._cheapest(text)
+        else:
+            path = [x for run, symbol in self.model.runs(text) for x in (self._finite(run) if symbol is None else [(run, symbol)])]
         out: list[int] = []
         was_unknown = False
-        for start, p in path:
+        for char, p in path:
             if p >= 0:
                 out.append(p)
             elif self.model.byte_fallback or not was_unknown:  # without bytes, unknown characters in a row are one piece
-                out += self.model.unknown_ids(text[start])
+                if char not in self._bytes:
+                    self._bytes[char] = self.model.unknown_ids(char)
+                out += self._bytes[char]
             was_unknown = p < 0
         return out
 
-    def _cheapest(self, text: str) -> list:
+    def _cheapest(self, text: str) -> list[tuple[str, int]]:
+        """(first character, piece) along the path of the largest score."""
         m, n = self.model, len(text)
-        cost, back = [INF] * (n + 1), [None] * (n + 1)
-        cost[0] = 0.0
+        best, back = [0.0] * (n + 1), [None] * (n + 1)
         for i, j, p in self.lattice(text):
-            w = -(m.scores[p] if p >= 0 else m.unk_score)
-            if cost[i] + w < cost[j]:
-                cost[j], back[j] = cost[i] + w, (i, p)
+            s = single((m.score(p) if p >= 0 else m.unk_score) + best[i])
+            if back[j] is None or s > best[j]:
+                best[j], back[j] = s, (i, p)
         path, end = [], n
         while end:
-            path.append(back[end])
-            end = back[end][0]
+            i, p = back[end]
+            path.append((text[i], p))
+            end = i
         return path[::-1]
 
     def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
@@ -104,14 +114,14 @@ class Transducer:
             j += 1
         return out
 
-    def _finite(self, text: str) -> list[tuple[int, int]]:
+    def _finite(self, text: str) -> list[tuple[str, int]]:
         """The only path of finite weight. Up to any position at most one path is finite, so the
         search goes deep, longest piece first, and never enters a position twice."""
         n = len(text)
         if not n:
             return []
         m, after, dead = self.model, self._after, set()
-        path: list[tuple[int, int]] = []
+        path: list[tuple[int, int]] = []  # (start, piece)
         todo: list[list[tuple[int, int]]] = []
         i, last, arcs = 0, -1, self._arcs(text, 0)
         while True:
@@ -129,7 +139,7 @@ class Transducer:
                 if fine:
                     path.append((i, p))
                     if j == n:
-                        return path
+                        return [(text[a], x) for a, x in path]
                     todo.append(arcs)
                     i, last, arcs = j, p, self._arcs(text, j)
                     break

@@ -6,11 +6,16 @@ path, the only one on which every two neighbours are *compatible*: merging their
 gives those two pieces again. (Greedy merging always takes the best pair of the whole text, so
 what it does within two neighbours is what it would do on them alone.) ``compatible``
 decides it by replaying the merges of both pieces towards their common boundary.
+
+Scores are summed as the library sums them, in single precision from the text's start; of equal
+ones the first, whose last piece begins first, stays.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+from array import array
 from functools import lru_cache
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
@@ -51,6 +56,83 @@ def fields(b: bytes):
         yield tag >> 3, v
 
 
+def single(x: float) -> float:
+    """The nearest single-precision number."""
+    return _FLOAT.unpack(_FLOAT.pack(x))[0]
+
+
+_FLOAT = struct.Struct("<f")
+
+
+class Normaliser:
+    """The normaliser as a transducer over UTF-8: at each place the longest rule of the model's table, or
+    a user symbol, rewrites what it matches; any other character is copied. The table is a double
+    array trie (32-bit units: a label, an offset to the children, a flag for a leaf) and its strings."""
+
+    def __init__(self, table: bytes, symbols: list[str], dummy_prefix: bool, squeeze: bool, escape: bool):
+        self.units, self.strings = array("I"), b""
+        if table:
+            (n,) = struct.unpack_from("<I", table)
+            self.units.frombytes(table[4 : 4 + n])
+            self.strings = table[4 + n :]
+        self.symbols = re.compile("|".join(re.escape(x) for x in sorted(symbols, key=len, reverse=True)).encode()) if symbols else None
+        self.dummy_prefix, self.squeeze, self.escape = dummy_prefix, squeeze, escape
+
+    def _rule(self, raw: bytes, at: int) -> tuple[bytes, int] | None:
+        """(output, bytes read) of the longest rule that matches here."""
+        units, found, i = self.units, None, at
+        if not units:
+            return None
+        offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+        node = offset(units[0])
+        while i < len(raw):
+            node ^= raw[i]
+            unit = units[node]
+            if unit & 0x800000FF != raw[i]:
+                break
+            node ^= offset(unit)
+            i += 1
+            if unit & 256:
+                found = (units[node] & 0x7FFFFFFF, i - at)
+        if found is None:
+            return None
+        start = found[0]
+        return self.strings[start : self.strings.index(0, start)], found[1]
+
+    def arcs(self, raw: bytes):
+        """(start, end, output) of the one path through a text."""
+        at = 0
+        while at < len(raw):
+            symbol = self.symbols.match(raw, at) if self.symbols else None
+            if symbol:
+                out, n = symbol[0], len(symbol[0])
+            elif (rule := self._rule(raw, at)) is not None:
+                out, n = rule
+            else:
+                n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+                out = raw[at : at + n]
+            yield at, at + n, out
+            at += n
+
+    def __call__(self, text: str) -> str:
+        if not self.units and not self.symbols and not self.squeeze:
+            return self._escaped((" " if self.dummy_prefix else "") + text) if text else ""
+        out, spaced, any_ = [], self.squeeze, False
+        for _, _, piece in self.arcs(text.encode("utf-8", "replace")):
+            if spaced:  # a space follows a space, or begins the text
+                piece = piece.lstrip(b" ")
+            if piece:
+                out.append(piece)
+                spaced, any_ = self.squeeze and piece.endswith(b" "), True
+        if not any_ and self.squeeze:
+            return ""
+        done = self._escaped((" " if self.dummy_prefix else "") + b"".join(out).decode("utf-8", "replace")) if text else ""
+        return done.rstrip(SPACE if self.escape else " ") if self.squeeze else done
+
+    def _escaped(self, text: str) -> str:
+        return text.replace(" ", SPACE) if self.escape else text
+
+
 class Model:
     def __init__(self, data: bytes):
         self.pieces: list[str] = []
@@ -58,7 +140,7 @@ class Model:
         self.types: list[int] = []
         self.kind, self.byte_fallback = UNIGRAM, False
         self.dummy_prefix, self.squeeze, self.escape = True, True, True
-        charsmap = b""
+        charsmap, suffix = b"", False
         for n, v in fields(data):
             if n == 1:
                 piece, score, kind = "", 0.0, NORMAL
@@ -74,6 +156,8 @@ class Model:
                 for k, x in fields(v):
                     if k == 3:
                         self.kind = x
+                    elif k == 24:
+                        suffix = bool(x)
                     elif k == 35:
                         self.byte_fallback = bool(x)
             elif n == 3:
@@ -86,27 +170,40 @@ class Model:
                         self.squeeze = bool(x)
                     elif k == 5:
                         self.escape = bool(x)
-        if charsmap or self.kind not in (UNIGRAM, BPE) or USER in self.types or not self.escape:
-            raise ValueError("only unigram and BPE models with identity normalisation and no user symbols are read")
+        if self.kind not in (UNIGRAM, BPE) or suffix or (self.kind == BPE and UNUSED in self.types):
+            raise ValueError("only unigram models, and BPE models without unused pieces, with spaces before words are read")
+        self.symbols = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == USER}
+        self.normalise = Normaliser(charsmap, list(self.symbols), self.dummy_prefix, self.squeeze, self.escape)
+        #: Whether normalising is nothing but the handling of spaces.
+        self.plain = not charsmap and not self.symbols and self.escape
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.unk = self.types.index(UNKNOWN)
         self.byte_ids = [-1] * 256
         for i, t in enumerate(self.types):
             if t == BYTE:
                 self.byte_ids[int(self.pieces[i][1:-1], 16)] = i
-        self.unk_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNK_PENALTY
+        known = [self.scores[i] for i in self.ids.values()]
+        self.unk_score = single(min(known, default=0.0) - UNK_PENALTY)
+        #: A user symbol weighs nothing, so that it is taken wherever it stands.
+        self.arc_scores = dict.fromkeys(self.symbols.values(), 0.0)
+        self._split = re.compile("|".join(re.escape(x) for x in sorted(self.symbols, key=len, reverse=True))) if self.symbols else None
         self.longest = max(map(len, self.ids), default=1)
         #: Whether words can be cut apart before each run of spaces: no piece has a space after another letter.
         self.by_word = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self._replays: dict[int, tuple | None] = {}
 
-    def normalise(self, text: str) -> str:
-        """The identity normaliser's flags: squeezed spaces, a space before the text, escaped spaces."""
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return ""
-        return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+    def score(self, piece: int) -> float:
+        return self.arc_scores.get(piece, self.scores[piece])
+
+    def runs(self, text: str) -> list[tuple[str, int | None]]:
+        """A normalised text of a BPE model cut at user symbols, which nothing merges with: (text, None) and (symbol, id)."""
+        if self._split is None:
+            return [(text, None)]
+        out, at = [], 0
+        for m in self._split.finditer(text):
+            out += [(text[at : m.start()], None), (m[0], self.symbols[m[0]])]
+            at = m.end()
+        return [x for x in [*out, (text[at:], None)] if x[0]]
 
     def unknown_ids(self, char: str) -> list[int]:
         """A character outside the vocabulary: its UTF-8 bytes, or the unknown piece."""
@@ -169,7 +266,7 @@ def load(path: str) -> Model:
 def words(model: Model, text: str) -> list[str] | None:
     """The normalised text cut before each run of spaces, where pieces cannot cross such cuts:
     words whose leading space is implied. None if the text has to be taken whole."""
-    if not model.by_word or not model.dummy_prefix:
+    if not model.by_word or not model.dummy_prefix or not model.plain or model.kind != BPE:
         return None
     if SPACE in text:  # an escaped space written out is a space to the pieces, but not to squeezing
         if model.squeeze:

@@ -3,13 +3,14 @@
 One automaton holds the whole vocabulary and lists every piece that ends at each position of a
 text. Dynamic programming carries two numbers a position: the best score and the piece count of
 the path that has it; no piece is ever kept. For a unigram model the score is the sum of the
-pieces' scores, and of equal sums the path whose last piece begins first wins, the tokenizer's
-own rule. For a BPE model exactly one piece can end each prefix, the one that greedy merging
+pieces' scores, in the library's precision, and of equal sums the path whose last piece begins
+first wins, the tokenizer's own rule. For a BPE model exactly one piece can end each prefix, the one that greedy merging
 leaves (see spm_model.compatible); the state carries that piece in place of the score. A character
 outside the vocabulary counts its UTF-8 bytes with byte fallback, else one for each run.
 
-Words are counted one by one (no piece crosses a space after a letter) and remembered, up to a
-fixed number. Null and empty texts count 0; any length is read whole.
+Words of a BPE model are counted one by one (no piece crosses a space after a letter) and remembered,
+up to a fixed number. Null and empty texts count 0; any length is read whole; rows may repeat and
+other columns pass unread, because the count is an expression over the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .spm_model import BPE, MOST_PAIRS, MOST_WORDS, SPACE, Model, load, words
+from .spm_model import BPE, MOST_PAIRS, MOST_WORDS, SPACE, Model, load, single, words
 
 DEFAULT = "piece_bpe_32k.model"
 
@@ -31,7 +32,7 @@ class Counter:
     def __init__(self, model: Model):
         self.model = model
         self.auto = ahocorasick.Automaton()
-        for p, i in model.ids.items():
+        for p, i in (model.ids if model.kind == BPE else {**model.ids, **model.symbols}).items():
             self.auto.add_word(p, (len(p), i))
         self.auto.make_automaton()
         self._chars = {p for p in model.ids if len(p) == 1}
@@ -50,7 +51,9 @@ class Counter:
 
     def viterbi(self, text: str) -> int:
         """Pieces of a normalised text."""
-        return self._bpe(text) if self.model.kind == BPE else self._unigram(text)
+        if self.model.kind != BPE:
+            return self._unigram(text)
+        return sum(self._bpe(run) if symbol is None else 1 for run, symbol in self.model.runs(text))
 
     def _bpe(self, text: str) -> int:
         if self._chars.issuperset(text):
@@ -91,11 +94,11 @@ class Counter:
         for at, matches in enumerate(self._ends(text)):
             j, found = at + 1, False
             for size, p in matches:  # longest first: the earliest start wins a tie
-                s = best[j - size] + m.scores[p]
+                s = single(m.score(p) + best[j - size])
                 if not found or s > best[j]:
                     best[j], count[j], run[j], found = s, count[j - size] + 1, False, True
             if text[at] not in m.ids:
-                s = best[at] + m.unk_score
+                s = single(m.unk_score + best[at])
                 if not found or s > best[j]:
                     best[j], run[j] = s, True
                     count[j] = count[at] + (len(text[at].encode("utf-8", "replace")) if m.byte_fallback else not run[at])
