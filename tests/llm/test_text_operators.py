@@ -1,5 +1,6 @@
 """Language ID, secret scan, SentencePiece, token counts, pseudonyms: against plain versions."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -64,6 +65,22 @@ def test_language_edges(spark, table):
     assert langid.query(spark, f"{table}-empty").count() == 0
 
 
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    """More labels than any bound of theirs: each keeps a part of the sample, none is dropped."""
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for lang in range(300):
+        words = ["".join(rng.choices(alphabet, k=6)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=30)), f"l{lang:03d}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_lang=3, sample=900)
+    assert len(model.langs) > 290  # a hash may pick no row of a language of four
+    got, _, rejected = model.predict([t for _, t, _ in rows])
+    known = [(g, r) for g, r in zip(got, rows, strict=True) if r[2] in model.langs]
+    assert sum(g == r[2] for g, r in known) >= 0.97 * len(known) and not any(rejected[i] for i, r in enumerate(rows) if r[2] in model.langs)
+
+
 def test_language_rejects_by_distance(spark):
     rows = [*_texts(2, 200), (900, "это совсем другой язык, которого модель никогда не видела и не знает " * 5, "en"), (901, None, "en"), (902, "the wind", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_brooklet_lang", F.lit(1))
@@ -138,6 +155,29 @@ def test_novelty():
     assert blob not in again and secrets.spans(again) == []
 
 
+def test_harmless_names_are_left_and_random_strings_found():
+    names = """550e8400-e29b-41d4-a716-446655440000 AbstractUserAuthenticationTokenFactoryBean2 OAuth2AuthorizationServerConfiguration report-2024-05-final-v2.tar.gz
+    proceedings-of-the-2019-workshop-on-security com.example.project.module1.ClassName user_session_manager_test_case_17 Base64UrlEncoderWithoutPadding TestHttp2ConnectionPoolManagerImpl
+    src/main/java/com/acme/auth/Login2.java index_2021_backup_copy_final.sql python3.11-site-packages-requests release-candidate-1.4.2-linux-x86_64 MAX_TOKEN_LENGTH_IN_BYTES_256
+    utf8mb4_unicode_520_ci_collation windows-server-2019-datacenter-image feature/login-page-redesign-2nd-attempt""".split()
+    for n in names:
+        assert secrets.spans(f"the auth session of our service is {n} as before") == [], n
+    rng = random.Random(2)
+    for size, least in ((16, 0.75), (20, 0.85), (24, 0.9), (32, 0.95), (40, 0.97)):
+        for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"):
+            found = [bool(secrets.spans(f"the auth session of our service is {''.join(rng.choices(letters, k=size))} as before")) for _ in range(100)]
+            assert sum(found) >= least * 100, (size, letters)
+
+
+def test_dictionary_of_the_corpus(spark):
+    word = "zyxwvutsrqponmlkjihgfedcbazyxwvu"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["river wind river", "river hill", None, "", word, "once only9x7", "x1y2 RIVER"])], "doc_id long, text string")
+    assert secrets.corpus_words(docs) == "river" and secrets.corpus_words(docs.limit(0)) == ""
+    told = "thequibbleflorpsnazzgrumble12wuzzlefrotz"
+    text = f"auth {told} end"
+    assert [k for *_, k in secrets.spans(text)] == ["novel"] and secrets.spans(text, "quibble florp snazz grumble wuzzle frotz thequibbleflorpsnazzgrumble") == []
+
+
 def test_secrets_of_many_lines_and_before_their_word():
     rng = random.Random(8)
     blob = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n - 1)) + "7"
@@ -225,16 +265,51 @@ def test_unigram_models_equal_the_library(byte_fallback):
             p.score = -32000
         if p.type == 6 and not byte_fallback:
             p.type = 1
-    for proto in (m, tiny):
+    rng = random.Random(6)
+    real = pb.ModelProto()
+    real.CopyFrom(m)
+    for p in real.pieces:
+        p.score = -3 - 17 * rng.random()
+    for proto in (m, tiny, real):
         data = proto.SerializeToString()
         lib, model = sentencepiece.SentencePieceProcessor(model_proto=data), spm_model.Model(data)
         fst, counter = sentencepiece_fst.Transducer(model), token_count.Counter(model)
-        texts = [t for t in _samples() if len(t) < 100] if proto is m else ["".join(random.Random(i).choices("ab c", k=14)) for i in range(300)]
+        texts = [t for t in _samples() if len(t) < 100] if proto is not tiny else ["".join(random.Random(i).choices("ab c", k=14)) for i in range(300)]
         for text in texts:
             ids = lib.encode(text)
             assert fst.encode(text).tolist() == ids and counter.count(text) == len(ids), text
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+def test_normalisation_tables_and_user_symbols_equal_the_library(kind, rule):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m, table, rng = pb.ModelProto(), pb.ModelProto(), random.Random(7)
+    with open(common.tokenizer_path(sentencepiece_fst.DEFAULT), "rb") as f:
+        m.ParseFromString(f.read())
+    table.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    m.trainer_spec.model_type = kind
+    m.normalizer_spec.precompiled_charsmap = table.normalizer_spec.precompiled_charsmap
+    for p in m.pieces if kind == 1 else ():
+        p.score = -3 - 17 * rng.random()
+    alphabet = " \n\tabcdetheing▁é中ñ  the 12ﬁ①Ａ　ｱ゙½é'"
+    plain = ["", " ", "the ﬁrst ＡＢＣ １２３　x", *("".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(250))]
+    for squeeze, symbols in ((True, ()), (False, ()), (True, ("<sep>", "<mask>", "<mask>2", "☃☃")), (False, ("<sep>", "<mask>", "<mask>2", "☃☃"))):
+        x = pb.ModelProto()
+        x.CopyFrom(m)
+        x.normalizer_spec.remove_extra_whitespaces = squeeze
+        for s in symbols:
+            x.pieces.add(piece=s, type=4, score=0)
+        data = x.SerializeToString()
+        lib, model = sentencepiece.SentencePieceProcessor(model_proto=data), spm_model.Model(data)
+        fst, counter = sentencepiece_fst.Transducer(model), token_count.Counter(model)
+        for t in plain + [a + rng.choice(["<sep>", " <mask>2", "<mask> ", "a☃☃b"]) + b for a, b in zip(plain, reversed(plain), strict=True)]:
+            ids = lib.encode(t)
+            assert fst.encode(t).tolist() == ids and counter.count(t) == len(ids), (squeeze, symbols, t)
+
+
 def test_sentencepiece_queries(spark, table, edge):
     import sentencepiece
 
@@ -287,6 +362,82 @@ def test_pseudonyms(spark):
     assert other != card
 
 
+def test_values_of_any_length(spark):
+    texts = ["x@a" + ".b1" * 100_000 + " and", "y" * 50_000 + "@q.org", "a@b" + "-" * 100_000, "1." * 100_000, "1 " * 100_000, "+1" * 100_000]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, pii int")
+    got = {r["doc_id"]: r["pii"] for r in pii.pseudonymise(docs, "key").collect()}
+    assert [len(got[i]["found"]) for i in range(6)] == [1, 1, 0, 0, 0, 0]
+    assert all(len(got[i]["text"]) == len(t) for i, t in enumerate(texts)) and all(got[i]["text"] == t for i, t in enumerate(texts) if i > 1)
+
+
+class _Plain:
+    """The permutations in plain Python."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def number(self, tag, side, i, other):
+        return hashlib.sha256(f"{self.key}|{tag}|{side}|{i}|{other}".encode()).hexdigest()
+
+    def permute(self, tag, left, right, a, b):
+        for i in range(pii.ROUNDS):
+            left = (left + int(self.number(tag, "l", i, right)[:15], 16)) % a
+            right = (right + int(self.number(tag, "r", i, left)[:15], 16)) % b
+        return left, right
+
+    def digits(self, kind, d):
+        u = len(d) // 2
+        a, b = self.permute(f"{kind}{len(d)}", int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u))
+        return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+    def turn(self, half, digest):
+        out = ""
+        for k, c in enumerate(half):
+            r = int(digest[2 * (k % 32) : 2 * (k % 32) + 2], 16)
+            for low, n in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(low) <= ord(c) < ord(low) + n:
+                    c = chr((ord(c) - ord(low) + r) % n + ord(low))
+                    break
+            out += c
+        return out
+
+    def name(self, s):
+        left, right = s[: len(s) // 2], s[len(s) // 2 :]
+        for i in range(pii.ROUNDS):
+            left = self.turn(left, self.number("email", "l", i, right))
+            right = self.turn(right, self.number("email", "r", i, left))
+        return left + right
+
+
+def test_pseudonyms_equal_a_plain_version(spark):
+    rng, plain = random.Random(13), _Plain("key")
+    texts, want = [], []
+    for _ in range(60):
+        name = "".join(rng.choices("abcXYZ019._", k=rng.randrange(1, 30)))
+        texts.append(f"to {name}@h.org now")
+        want.append(f"to {plain.name(name)}@h.org now")
+        d = "".join(rng.choices("0123456789", k=10))
+        texts.append(f"({d[:3]}) {d[3:6]}-{d[6:]}")
+        n = plain.digits("phone", d)
+        want.append(f"({n[:3]}) {n[3:6]}-{n[6:]}")
+        body = "".join(rng.choices("0123456789", k=15))
+        card = next(body + str(x) for x in range(10) if _luhn(body + str(x)))
+        body = plain.digits("card", body)
+        texts.append(card)
+        want.append(next(body + str(x) for x in range(10) if _luhn(body + str(x))))
+        o = [rng.randrange(256) for _ in range(4)]
+        a, b = plain.permute("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        texts.append("ip " + ".".join(map(str, o)))
+        want.append(f"ip {a // 256}.{a % 256}.{b // 256}.{b % 256}")
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+        a, b = plain.permute("date", (n := (day - datetime.date(1900, 1, 1)).days) // pii.DAYS_B, n % pii.DAYS_B, pii.DAYS_A, pii.DAYS_B)
+        texts.append(day.isoformat())
+        want.append((datetime.date(1900, 1, 1) + datetime.timedelta(a * pii.DAYS_B + b)).isoformat())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["pii"]["text"] for r in pii.pseudonymise(docs, "key").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_permutations_are_bijections(spark):
     two = spark.range(100).select(pii.permute_digits("k", "t", F.lpad(F.col("id").cast("string"), 2, "0")).alias("p"))
     assert len({r["p"] for r in two.collect()}) == 100
