@@ -9,6 +9,7 @@ where a null-aware anti join under OR would be a nested loop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -62,21 +63,43 @@ def value_set(leaf: In, tables: Tables) -> DataFrame:
     return where(tables[leaf.table], leaf.where, tables).select(F.col(leaf.project).alias(f"_v{next(_names)}"))
 
 
-def with_verdicts(df: DataFrame, p: Predicate | None, tables: Tables, name: str) -> DataFrame:
+#: A subquery's distinct values that are not NULL (one column), whether its set is empty, and whether it holds NULL.
+Members = tuple[DataFrame, Column, Column]
+SetOf = Callable[[In], Members]
+
+
+def from_tables(tables: Tables) -> SetOf:
+    """Subqueries answered by running them."""
+
+    def of(leaf: In) -> Members:
+        values = value_set(leaf, tables)
+        v = values.columns[0]
+        facts = values.agg(F.struct((F.count(F.lit(1)) == 0).alias("empty"), (F.count_if(F.col(v).isNull()) > 0).alias("null"))).scalar()
+        return values.filter(F.col(v).isNotNull()).distinct(), facts["empty"], facts["null"]
+
+    return of
+
+
+def with_verdicts(df: DataFrame, p: Predicate | None, sets: SetOf, name: str) -> DataFrame:
     """``df`` with a boolean column: the predicate's three-valued verdict on each row."""
     flags: dict[int, Column] = {}
     kept = df.columns
     for leaf in subqueries(p):
-        values = value_set(leaf, tables)
-        v, hit = values.columns[0], f"_hit{next(_names)}"
-        facts = values.agg(F.struct((F.count(F.lit(1)) == 0).alias("empty"), (F.count_if(F.col(v).isNull()) > 0).alias("null"))).scalar()
-        found = values.filter(F.col(v).isNotNull()).distinct().withColumn(hit, F.lit(True))
+        found, empty, null = sets(leaf)
+        v, hit = f"_v{next(_names)}", f"_hit{next(_names)}"
+        found = found.select(F.col(found.columns[0]).alias(v), F.lit(True).alias(hit))
         df = df.join(found, df[leaf.col] == found[v], "left").drop(v)
-        yes = F.when(facts["empty"], F.lit(False)).when(F.col(leaf.col).isNull(), F.lit(None)).when(F.col(hit), F.lit(True)).when(facts["null"], F.lit(None)).otherwise(F.lit(False))
+        yes = F.when(empty, F.lit(False)).when(F.col(leaf.col).isNull(), F.lit(None)).when(F.col(hit), F.lit(True)).when(null, F.lit(None)).otherwise(F.lit(False))
         flags[id(leaf)] = ~yes if leaf.negated else yes
     return df.select(*kept, to_column(p, F.col, lambda leaf: flags[id(leaf)]).alias(name))
 
 
+def chosen(df: DataFrame, p: Predicate | None, sets: SetOf) -> DataFrame:
+    """The rows for which the predicate is TRUE, its subqueries answered by ``sets``."""
+    name = f"_ok{next(_names)}"
+    return with_verdicts(df, p, sets, name).filter(F.col(name)).drop(name) if subqueries(p) else df.filter(to_column(p))
+
+
 def where(df: DataFrame, p: Predicate | None, tables: Tables | None = None) -> DataFrame:
     """The rows of ``df`` for which the predicate is TRUE."""
     tables = tables or {}
@@ -92,8 +115,7 @@ def where(df: DataFrame, p: Predicate | None, tables: Tables | None = None) -> D
         elif subqueries(x):
             rest.append(x)
     if rest:
-        name = f"_ok{next(_names)}"
-        df = with_verdicts(df, And(tuple(rest)), tables, name).filter(F.col(name)).drop(name)
+        df = chosen(df, And(tuple(rest)), from_tables(tables))
     return df
 
 

@@ -16,7 +16,7 @@ from brooklet.operators.params import collect, substitute
 from brooklet.operators.predicate import And, In, Or, Predicate, from_json, tables, validate
 from brooklet.operators.subset import query_subset
 from brooklet.operators.where_parser import parse
-from brooklet.plans.replay import replay
+from brooklet.plans.replay import HIGH, PRIORITIES, replay
 from brooklet.schema import TableSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,19 @@ def _live(read: Callable) -> Query:
     return lambda spark, sf_dir: read(replay(spark, sf_dir))
 
 
+def _feed(which: str) -> Query:
+    """(version, op, key) of a live query's whole feed."""
+    return _live(lambda r: r.engine.feed(getattr(r, which)).select("version", "op", "key"))
+
+
+def _live_family(r) -> DataFrame:
+    out = None
+    for p, shape in r.family.items():
+        part = r.engine.feed(shape).select(F.lit(p).alias("shape_key"), "version", "op", "key")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _live_value(fn: str, digits: int | None = None) -> Query:
     def read(r) -> DataFrame:
         out = r.engine.value(r.aggregates[fn])
@@ -159,7 +172,28 @@ _SAME = {
 }
 
 _SPARSE = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS et FROM events) t"
-_FINAL = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 11 <> 0) f"
+_GONE = f"(o_orderkey % 11 = 0 OR o_totalprice >= {HIGH} * (SELECT MAX(o_totalprice) FROM orders))"
+#: The orders after each commit of the replay.
+_AT = {
+    1: "(SELECT * FROM orders) f",
+    2: f"(SELECT * FROM orders WHERE NOT {_GONE}) f",
+    3: f"(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE NOT {_GONE}) f",
+}
+_FINAL = _AT[3]
+
+
+def _steps(result: str, versions=(0, 1, 2, 3), before: str | None = None) -> str:
+    """The feed (version, op, key) of a result over the commits: what each version brought and took.
+    ``result`` is SQL with {} for the orders; ``before`` is the result before any commit, if there is one."""
+    at = {0: before or f"SELECT * FROM ({result.format(_AT[1])}) r WHERE FALSE"} | {v: result.format(t) for v, t in _AT.items()}
+    parts = [f"SELECT CAST({versions[0]} AS BIGINT) AS version, 'upsert' AS op, CAST(k AS VARCHAR) AS key FROM ({at[versions[0]]}) a"]
+    for a, b in zip(versions, versions[1:]):
+        for op, x, y in (("upsert", b, a), ("delete", a, b)):
+            parts.append(f"SELECT {b}, '{op}', CAST(k AS VARCHAR) FROM (SELECT k FROM ({at[x]}) x EXCEPT SELECT k FROM ({at[y]}) y) d")
+    return " UNION ALL ".join(parts)
+
+
+_F_KEYS, _IN_F = "SELECT o_orderkey AS k FROM {} WHERE o_orderstatus = 'F'", "(SELECT o_custkey FROM {} WHERE o_orderstatus = 'F')"
 _PAGE = ["o_orderkey", "o_totalprice"]
 _BY_PRICE = ("o_totalprice", "desc")
 
@@ -201,6 +235,18 @@ _OWN: dict[str, tuple[Query, str]] = {
     "live_agg_count_final": (_live_value("count"), f"SELECT COUNT(*) AS value, COUNT(*) AS n FROM {_FINAL} WHERE o_orderstatus = 'F'"),
     "live_agg_sum_final": (_live_value("sum", 2), f"SELECT ROUND(SUM(o_totalprice), 2) AS value, COUNT(*) AS n FROM {_FINAL} WHERE o_orderstatus = 'F'"),
     "live_agg_max_retract": (_live_value("max"), f"SELECT MAX(o_totalprice) AS value, COUNT(*) AS n FROM {_FINAL} WHERE o_orderstatus = 'F'"),
+    "live_filter_feed": (_feed("filter"), _steps(_F_KEYS)),
+    "live_changes_only_feed": (_feed("changes"), _steps(_F_KEYS)),
+    "live_subquery_feed": (_feed("member"), _steps(f"SELECT c_custkey AS k FROM customer WHERE c_custkey IN {_IN_F}")),
+    "live_not_in_feed": (_feed("outsider"), _steps(f"SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN {_IN_F}", before="SELECT c_custkey AS k FROM customer")),
+    "live_or_subquery_feed": (_feed("either"), _steps(f"SELECT c_custkey AS k FROM customer WHERE c_custkey < 100 OR c_custkey IN {_IN_F}", before="SELECT c_custkey AS k FROM customer WHERE c_custkey < 100")),
+    "live_family_feed": (_live(_live_family), " UNION ALL ".join(f"SELECT '{p}' AS shape_key, * FROM (" + _steps(f"SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {{}} WHERE o_orderstatus = 'F' AND o_orderpriority = '{p}')") + ") s" for p in PRIORITIES)),
+    "live_late_feed": (_feed("late"), _steps("SELECT o_orderkey AS k FROM {} WHERE o_totalprice < 50000", (1, 2, 3))),
+    "live_woken_feed": (_feed("sleeper"), _steps("SELECT o_orderkey AS k FROM {} WHERE o_orderstatus = 'F' AND o_totalprice > 100000")),
+    "live_agg_feed": (_live(lambda r: r.engine.feed(r.aggregates["max"]).select("version", F.col("value")["value"].cast("double").alias("value"), F.col("value")["n"].cast("long").alias("n"))), "SELECT CAST(0 AS BIGINT) AS version, CAST(NULL AS DOUBLE) AS value, CAST(0 AS BIGINT) AS n UNION ALL SELECT version, value, n FROM (SELECT *, LAG(value) OVER (ORDER BY version) AS was FROM (" + " UNION ALL ".join(f"SELECT {v} AS version, MAX(o_totalprice) AS value, COUNT(*) AS n FROM {t} WHERE o_orderstatus = 'F'" for v, t in _AT.items()) + ") v) w WHERE value IS DISTINCT FROM was"),
+    "live_feed_fold_at_version": (_live(lambda r: r.engine.rows(r.filter, until=2)), f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM {_AT[2]} WHERE o_orderstatus = 'F'"),
+    "live_trace": (_live(lambda r: r.engine.trace(r.filter)), "SELECT version, op, COUNT(*) AS rows FROM (" + _steps(_F_KEYS) + ") s GROUP BY version, op"),
+    "live_contributors": (_live(lambda r: r.contributors()), f"SELECT o_custkey AS value, COUNT(*) AS w FROM {_FINAL} WHERE o_orderstatus = 'F' GROUP BY o_custkey"),
     "live_counts_final": (_live(lambda r: r.engine.group_counts("orders").select("o_orderstatus", "o_orderpriority", F.col("cnt").cast("long").alias("cnt"))), f"SELECT o_orderstatus, o_orderpriority, COUNT(*) AS cnt FROM {_FINAL} GROUP BY o_orderstatus, o_orderpriority"),
 }
 

@@ -1,21 +1,30 @@
 """The live queries' workload: a change log made of ``orders``, applied by the live engine.
 
-Three commits: all orders are inserted; those with ``o_orderkey % 11 = 0`` are deleted; of the
-rest, those with ``o_orderkey % 7 = 0`` get the status F. Every live query of the registry is
-registered on one engine before the log is read, so all are kept by one stream.
+Three commits, each drained by itself: all orders are inserted; those with ``o_orderkey % 11 = 0`` and
+those of the highest prices are deleted, so that values leave the sets and a maximum is retracted; of the
+rest, those with ``o_orderkey % 7 = 0`` get the status F by a partial update. Every live query of the
+registry is registered on one engine before the log is read, so all are kept by one stream; ``LATE`` is
+registered after the first commit and one query sleeps through the second.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brooklet.operators.predicate import subqueries
 from brooklet.schema import TableSchema
 from brooklet.sources.fs import scratch_root
 from brooklet.streaming.engine import LiveEngine
+from brooklet.streaming.retention import Limits
 
 _COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 _F = "o_orderstatus = 'F'"
+#: Orders of this part of the highest price or more are deleted.
+HIGH = 0.9
+PRIORITIES = ("1-URGENT", "2-HIGH")
 _INNER = f"(SELECT o_custkey FROM orders WHERE {_F})"
 
 
@@ -30,12 +39,29 @@ class Replay:
         self.routed = {s: e.create_shape("orders", f"o_orderstatus = '{s}'", ["o_orderkey"]) for s in ("F", "O", "P")}
         self.member = e.create_shape("customer", f"c_custkey IN {_INNER}")
         self.outsider = e.create_shape("customer", f"c_custkey NOT IN {_INNER}")
+        self.either = e.create_shape("customer", f"c_custkey < 100 OR c_custkey IN {_INNER}")
+        self.family = dict(zip(PRIORITIES, e.create_shapes("customer", [f"c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '{p}' AND {_F})" for p in PRIORITIES]), strict=True))
+        self.changes = e.create_shape("orders", _F, ["o_orderkey"], changes_only=True)
+        self.sleeper = e.create_shape("orders", "o_orderstatus = 'F' AND o_totalprice > 100000", ["o_orderkey"])
         self.aggregates = {fn: e.create_aggregate("orders", fn, None if fn == "count" else "o_totalprice", _F) for fn in ("count", "sum", "max")}
         schema = e.schemas["orders"]
         e.log.append_rows(schema, "upsert", orders)
-        e.log.append_rows(schema, "delete", orders.filter("o_orderkey % 11 = 0"))
-        e.log.append_rows(schema, "upsert", orders.filter("o_orderkey % 11 <> 0 and o_orderkey % 7 = 0").withColumn("o_orderstatus", F.lit("F")))
         e.run()
+        self.late = e.create_shape("orders", "o_totalprice < 50000", ["o_orderkey"])
+        e.release(self.sleeper)
+        e.sweep(Limits(idle=1), now=time.monotonic() + 5)
+        top = orders.agg(F.max("o_totalprice")).first()[0]
+        e.log.append_rows(schema, "delete", orders.filter((F.col("o_orderkey") % 11 == 0) | (F.col("o_totalprice") >= HIGH * top)))
+        e.run()
+        e.reactivate(self.sleeper)
+        e.log.append_rows(schema, "update", orders.filter((F.col("o_orderkey") % 11 != 0) & (F.col("o_totalprice") < HIGH * top) & (F.col("o_orderkey") % 7 == 0)).withColumn("o_orderstatus", F.lit("F")), columns=["o_orderkey", "o_orderstatus"])
+        e.run()
+
+    def contributors(self) -> DataFrame:
+        """The state behind the subquery: its values, and how many rows hold each up."""
+        sets = self.engine.sets
+        leaf = subqueries(self.engine.shapes[self.member].predicate)[0]
+        return sets._bound(leaf, sets.state(sets.node(leaf), self.engine.version)).select("value", "w")
 
     def router(self) -> DataFrame:
         out = None

@@ -47,10 +47,11 @@ class ChangeLog:
         self.store.write_text(f"commits/{lsn:016d}/part.json", "\n".join(lines) + "\n")
         return lsn
 
-    def append_rows(self, schema: TableSchema, op: str, rows: DataFrame, seq: Column | None = None) -> int:
-        """One commit with a change for each row of a DataFrame; written by Spark, whatever its size."""
-        lsn = self._take()
-        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in schema.columns]), F.array(*[F.col(c).cast("string") for c in schema.columns]))
+    def append_rows(self, schema: TableSchema, op: str, rows: DataFrame, seq: Column | None = None, columns: list[str] | None = None) -> int:
+        """One commit with a change for each row of a DataFrame; written by Spark, whatever its size. An
+        update may carry some columns only, the key among them."""
+        lsn, named = self._take(), schema.projected(columns) if op == "update" else list(schema.columns)
+        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in named]), F.array(*[F.col(c).cast("string") for c in named]))
         e = rows.select(
             F.lit(schema.name).alias("type"), schema.key().alias("key"), (F.lit(None).cast("map<string,string>") if op == "delete" else cells).alias("value"),
             F.struct(F.lit(op).alias("operation"), F.lit(lsn).alias("txid"), F.lit(lsn).alias("lsn"), (F.monotonically_increasing_id() if seq is None else seq).alias("seq")).alias("headers"),

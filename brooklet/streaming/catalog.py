@@ -1,7 +1,8 @@
 """The durable catalog: one small event per file, replayed on start.
 
-Events: table, created, created_many, joined, left, dormant, reactivated, dropped, folded (aggregate state of
-many batches written as one), and batch (a committed batch with the versions and high-water mark
+Events: table, created, created_many, joined, left, dormant, reactivated, dropped, node and
+node_dropped (the sets behind subqueries), folded and feeds_folded (aggregate state and feeds of many batches
+written as one), and batch (a committed batch with the versions and high-water mark
 that it left). The folded state is all that a restart needs.
 """
 
@@ -37,6 +38,9 @@ class Folded:
     tables: dict[str, dict] = field(default_factory=dict)
     folded: set[str] = field(default_factory=set)
     gone: set[str] = field(default_factory=set)
+    feeds: set[str] = field(default_factory=set)
+    feeds_gone: set[str] = field(default_factory=set)
+    nodes: dict[str, dict] = field(default_factory=dict)
 
 
 class Catalog:
@@ -72,9 +76,17 @@ class Catalog:
                     out.shapes.pop(e["id"], None)
                 case "folded":
                     out.folded, out.gone = set(e["new"]), out.gone | set(e["gone"])
+                case "feeds_folded":
+                    out.feeds, out.feeds_gone = {e["new"]}, out.feeds_gone | set(e["gone"])
+                case "node":
+                    out.nodes[e["id"]] = e
+                case "node_dropped":
+                    out.nodes.pop(e["id"], None)
                 case "batch":
                     out.batch, out.version = e["batch"], e["version"]
                     out.highwater = tuple(e["highwater"]) if e["highwater"] else None
                     for t, d in e["tables"].items():
                         out.tables[t] |= d
+                    for i, d in e.get("nodes", {}).items():
+                        out.nodes[i] |= d
         return out

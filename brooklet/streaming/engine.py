@@ -7,16 +7,18 @@ state. From these every kind of query is advanced with a few plans, however many
 * filters: both images are routed to the queries they match (families by an equi join with
   their parameters, the rest by wide projections); a key in the new image's result is an upsert,
   one only in the old image's a delete;
-* filters with subqueries: the rows that can have changed are those the batch touched and those
-  whose connecting column holds a value that a subquery's set gained or lost. On these, and
-  only these, the predicate is decided over the tables before and after; the difference is the
-  feed. Where a set gains or loses NULL or becomes (non-)empty under a negation, all rows can
-  have changed, and all are decided;
+* filters with subqueries: the sets behind them are state (membership.py), advanced by the batch's
+  deltas. The rows that can have changed are the batch's images and those whose connecting column
+  holds a value that flipped; their verdicts before and after come from the state, and the
+  difference is the feed. Images are routed first, by the conjuncts that need no subquery, so that
+  queries which they cannot concern cost nothing; queries that differ in a subquery's values share one
+  plan. Where a set gains or loses NULL or becomes (non-)empty under a negation, all rows are decided;
 * aggregates: weighted sums are added to their state; MIN and MAX keep a multiset of values;
 * counts by group columns: weighted sums.
 
-Batches are written under their id and overwritten if repeated, and one catalog event commits
-them, so a batch takes effect once. Since a query starts from a table version and sees the
+A batch is one version, or with ``flush="commit"`` one for each commit of the log, so that what stood
+between two commits is in the feeds, too. Batches are written under their id and overwritten if repeated,
+and one catalog event commits them, so a batch takes effect once. Since a query starts from a table version and sees the
 batches after it, no change is lost or doubled between its snapshot and its feed.
 """
 
@@ -24,7 +26,10 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +39,7 @@ from brooklet.operators import aggregate as agg_ops
 from brooklet.operators import compile as comp
 from brooklet.operators import route, subset
 from brooklet.operators.aggregate import Aggregate
-from brooklet.operators.predicate import And, In, Predicate, canonical, conjuncts, from_json, null_sensitive, subqueries, subquery_template, tables, to_json, validate
+from brooklet.operators.predicate import And, In, Predicate, canonical, conjuncts, from_json, subqueries, subquery_template, tables, to_json, validate
 from brooklet.operators.where_parser import parse
 from brooklet.schema import TableSchema, ValidationError
 from brooklet.sources.changelog import ENVELOPE, ChangeLog, typed
@@ -42,14 +47,17 @@ from brooklet.sources.fs import Store
 from brooklet.sources.state import TableState
 from brooklet.streaming import retention
 from brooklet.streaming.catalog import Catalog, ShapeRecord
+from brooklet.streaming.membership import BROADCAST_VALUES, Sets
 from brooklet.streaming.metrics import Metrics
 
 FEED = "shape_id string, key string, op string, value map<string,string>, old map<string,string>, version bigint"
 AGG_KEY = "agg"
 #: Keys of one batch up to which they are broadcast to find their old images.
 BROADCAST_KEYS = 500_000
-#: Files of aggregate state beyond which they are folded.
-MOST_PARTS = 60
+#: Files of aggregate state, and of feeds, beyond which they are folded.
+MOST_PARTS, MOST_FEEDS = 60, 200
+#: Independent writes of one batch that run at a time; Spark shares its executors among them.
+AT_ONCE = 8
 
 
 @dataclass
@@ -63,22 +71,22 @@ class _Shape:
 
 def _template(s: _Shape) -> tuple | None:
     """What queries of one family have in common: one positive subquery among plain conjuncts, whose
-    own filter holds no subquery and pins some columns to values."""
+    own filter holds no subquery; the columns that it pins to values don't count."""
     parts = list(conjuncts(s.predicate))
     leaves = [x for x in parts if isinstance(x, In)]
     if len(leaves) != 1 or leaves[0].negated or subqueries(leaves[0].where) or any(subqueries(x) for x in parts if x is not leaves[0]):
         return None
     leaf = leaves[0]
     cols, _, residual = subquery_template(leaf.where)
-    if not cols:
-        return None
     plain = canonical(And(tuple(x for x in parts if x is not leaf)))
     return (s.record.table, tuple(s.record.columns), plain, leaf.col, leaf.table, leaf.project, cols, canonical(residual))
 
 
 class LiveEngine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, flush: str = "batch"):
+        if flush not in ("batch", "commit"):
+            raise ValidationError(f"flush is batch or commit, not {flush}")
+        self.spark, self.store, self.flush = spark, Store(spark, root), flush
         self.log, self.catalog = ChangeLog(spark, self.store.path("log")), Catalog(self.store)
         self.schemas: dict[str, TableSchema] = {}
         self.states: dict[str, TableState] = {}
@@ -86,9 +94,10 @@ class LiveEngine:
         self.shapes: dict[str, _Shape] = {}
         self.metrics = Metrics()
         self.faults: set[str] = set()
-        self._moved_by: dict[str, tuple[DataFrame, bool] | None] = {}
+        self._agg_values: dict[tuple[str, int], tuple] = {}
+        self.work = self.store.path("work")
         found = self.catalog.fold()
-        self.folded, self.gone = found.folded, found.gone
+        self.folded, self.gone, self.feeds, self.feeds_gone = found.folded, found.gone, found.feeds, found.feeds_gone
         self.batch, self.version, self.highwater = found.batch, found.version, found.highwater
         for t, d in found.tables.items():
             schema = TableSchema.from_json(t, d["schema"]) if not d.get("struct") else self._from_struct(t, d)
@@ -98,6 +107,7 @@ class LiveEngine:
                 self.counts[t] = d["counts"]
         for r in found.shapes.values():
             self.shapes[r.id] = _Shape(r, from_json(r.where), Aggregate(r.fn, r.col) if r.kind == "aggregate" else None, dormant_since=None if r.dormant_at is None else time.monotonic())
+        self.sets, self._committed = Sets(self, found.nodes), self.version
 
     @staticmethod
     def _from_struct(name: str, d: dict) -> TableSchema:
@@ -168,6 +178,7 @@ class LiveEngine:
 
     def _create(self, r: ShapeRecord, p: Predicate | None, agg: Aggregate | None = None) -> str:
         s, began = _Shape(r, p, agg), time.monotonic()
+        self.sets.ensure(p)
         if agg is not None:
             self._seed_aggregate(s)
         elif not r.changes_only:
@@ -207,7 +218,9 @@ class LiveEngine:
             hit = route.route_all(self.table(table), schema, {i: s.predicate for i, s in plain.items()})
             parts.append(hit.select(F.col("_query").alias("shape_id"), schema.key().alias("key"), comp.row_text(schema, cols).alias("value")))
         for found in families.values():
-            parts.append(self._family_rows(found, self.version, None) if len(found) > 1 else self._snapshot(found[0], self.version).drop("version"))
+            parts.append(self._family_rows(found, self.version) if len(found) > 1 else self._snapshot(found[0], self.version).drop("version"))
+        for s in new.values():
+            self.sets.ensure(s.predicate)
         for n, rows in enumerate(parts):
             self._write(rows.withColumns(out), self._feed_path(self.version, f"many-{uuid.uuid4().hex[:8]}-{n}"))
         self.shapes |= new
@@ -222,17 +235,26 @@ class LiveEngine:
         self.catalog.log("left", id=shape_id)
 
     def purge(self, shape_id: str) -> None:
-        """Drop a query, whoever holds it."""
+        """Drop a query, whoever holds it, and the sets that only it used. Its rows in folders that it shares
+        with others go when those are folded."""
         del self.shapes[shape_id]
         self.catalog.log("dropped", id=shape_id)
         for name in self.store.list("feed"):
             if name.endswith(shape_id):
                 self.store.delete(f"feed/{name}")
+        self.sets.drop_unused()
+
+    def feed_bytes(self) -> dict[str, int]:
+        """The size of each query's feed: the bytes of its keys and rows."""
+        rows = self._feed_rows()
+        text = F.octet_length("key") + F.coalesce(F.octet_length(F.to_json("value")), F.lit(0)) + F.coalesce(F.octet_length(F.to_json("old")), F.lit(0))
+        return {} if rows is None else {r["shape_id"]: r["n"] for r in rows.groupBy("shape_id").agg(F.sum(text).alias("n")).collect() if r["shape_id"] in self.shapes}
 
     def sweep(self, limits: retention.Limits, now: float | None = None) -> retention.Plan:
         """Plan and carry out retention."""
         now = time.monotonic() if now is None else now
-        uses = [retention.ShapeUse(i, s.record.refs, now - s.last_used, None if s.dormant_since is None else now - s.dormant_since, can_sleep=s.agg is None) for i, s in self.shapes.items()]
+        size = self.feed_bytes() if limits.most_bytes else {}
+        uses = [retention.ShapeUse(i, s.record.refs, now - s.last_used, None if s.dormant_since is None else now - s.dormant_since, can_sleep=s.agg is None, bytes=size.get(i, 0)) for i, s in self.shapes.items()]
         plan = retention.plan(uses, limits)
         for i in plan.deactivate:
             self.shapes[i].record.dormant_at, self.shapes[i].dormant_since = self.version, now
@@ -275,13 +297,34 @@ class LiveEngine:
         """A query's feed rows, those of versions after ``after``; its snapshot has the version it began at."""
         s = self.shapes[shape_id]
         s.last_used = time.monotonic()
-        names = self.store.list("feed")
-        if not names:
+        rows = self._feed_rows()
+        if rows is None:
             return self.spark.createDataFrame([], FEED)
-        rows = self.spark.read.schema(FEED).parquet(*[self.store.path(f"feed/{n}") for n in names])
         rows = rows.filter((F.col("shape_id") == shape_id) & (F.col("version") >= s.record.since))
         return rows if after is None else rows.filter(F.col("version") > after)
 
+    def _feed_names(self) -> list[str]:
+        return [n for n in self.store.list("feed") if n not in self.feeds_gone and (not n.endswith("-folded") or n in self.feeds)]
+
+    def _feed_rows(self) -> DataFrame | None:
+        names = self._feed_names()
+        return self.spark.read.schema(FEED).parquet(*[self.store.path(f"feed/{n}") for n in names]) if names else None
+
+    def _compact_feeds(self, version: int) -> None:
+        """Fold many feed folders into one, sorted by query, so that reading a feed skips what is others';
+        rows of queries that are gone stay behind."""
+        names = self._feed_names()
+        if len(names) <= MOST_FEEDS:
+            return
+        alive = self.spark.createDataFrame([(i, s.record.since) for i, s in self.shapes.items()], "shape_id string, since bigint")
+        few = F.broadcast(alive) if len(self.shapes) <= route.BROADCAST_ROWS else alive
+        rows = self._feed_rows().join(few, "shape_id").filter("version >= since").drop("since")
+        self._write(rows.repartitionByRange("shape_id", "key").sortWithinPartitions("shape_id", "version"), self.store.path(f"feed/{version:09d}-folded"))
+        self.catalog.log("feeds_folded", gone=names, new=f"{version:09d}-folded")
+        self.feeds, self.feeds_gone = {f"{version:09d}-folded"}, self.feeds_gone | set(names)
+        for n in names:
+            self.store.delete(f"feed/{n}")
+
     def rows(self, shape_id: str, until: int | None = None) -> DataFrame:
         """A row query's current result, folded from its feed alone, in the table's types."""
         r = self.shapes[shape_id].record
@@ -313,6 +356,17 @@ class LiveEngine:
 
     # ---- one batch
 
+    @staticmethod
+    def together(todo: list[Callable[[], None]]) -> None:
+        """Run independent steps side by side; the first failure is raised once all have ended."""
+        if len(todo) < 2:
+            for f in todo:
+                f()
+            return
+        with ThreadPoolExecutor(min(AT_ONCE, len(todo))) as pool:
+            for done in [pool.submit(f) for f in todo]:
+                done.result()
+
     def _write(self, df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
@@ -336,34 +390,60 @@ class LiveEngine:
     def _batch(self, envelopes: DataFrame, batch_id: int) -> None:
         if batch_id <= self.batch:
             return
-        began = time.monotonic()
-        h = F.col("headers")
+        began, h = time.monotonic(), F.col("headers")
+        self._rewind()
         new = zset.dedup(envelopes, self.highwater, h["lsn"], h["seq"]).filter(F.col("type").isin(list(self.schemas)))
-        version, work = self.version + 1, self.store.path(f"work/{batch_id:09d}")
-        self._write(new, f"{work}/envelopes")
-        new = self.spark.read.schema(ENVELOPE).parquet(f"{work}/envelopes")
+        self.work = self.store.path(f"work/{batch_id:09d}")
+        self._write(new, f"{self.work}/envelopes")
+        new = self.spark.read.schema(ENVELOPE).parquet(f"{self.work}/envelopes")
+        parts = [new]
+        if self.flush == "commit":  # unstamped envelopes last, as the order of images has them
+            stamps = sorted((r[0] for r in new.select(h["lsn"]).distinct().collect()), key=lambda x: (x is None, x))
+            parts = [new.filter(h["lsn"].eqNullSafe(F.lit(x).cast("long"))) for x in stamps]
+        marks, touched = [], set()
+        for part in parts:
+            got = self._apply(part, self.version + 1)
+            marks += got[0]
+            touched |= got[1]
+        self.highwater = max([*marks, *([self.highwater] if self.highwater else [])], default=None)
+        self.batch = batch_id
+        self.catalog.log("batch", batch=batch_id, version=self.version, highwater=self.highwater, tables={t: {"bases": self.states[t].bases, "deltas": self.states[t].deltas} for t in touched}, nodes=self.sets.marks())
+        self._committed = self.version
+        self._compact_feeds(self.version)
+        self.store.delete(f"work/{batch_id:09d}")
+        self.metrics.count("batches")
+        self.metrics.batch.add(time.monotonic() - began)
+
+    def _rewind(self) -> None:
+        """Back to the committed version, if a batch failed on the way."""
+        self.version = self._committed
+        for st in self.states.values():
+            st.bases, st.deltas = [v for v in st.bases if v <= self.version], {v: n for v, n in st.deltas.items() if v <= self.version}
+        self.sets.rewind(self.version)
+        self._agg_values = {k: v for k, v in self._agg_values.items() if k[1] <= self.version}
+
+    def _apply(self, new: DataFrame, version: int) -> tuple[list[tuple], set[str]]:
+        """Advance everything by some commits; their last positions and the tables that they changed."""
+        h = F.col("headers")
         per_table = new.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(h["lsn"], h["seq"])).alias("hw"), F.max(h["operation"] == "truncate").alias("cut")).collect()
-        images: dict[str, DataFrame] = {}
+        images, counts = {}, {}
         for r in per_table:
             schema = self.schemas[r["type"]]
             got = self._images(new.filter(F.col("type") == r["type"]), schema, r["n"], r["cut"])
-            self._write(got, path := f"{work}/images-{schema.name}")
+            self._write(got, path := f"{self.work}/{version:09d}-images-{schema.name}")
             images[schema.name] = got = self.spark.read.schema(got.schema).parquet(path)
-            changed = got.count()
-            self.states[schema.name].apply(got, version, changed)
-            self.metrics.count("changed_keys", changed)
-        self._advance(images, version)
+            counts[schema.name] = got.count()
+            self.states[schema.name].apply(got, version, counts[schema.name])
+            self.metrics.count("changed_keys", counts[schema.name])
+        self._advance(images, counts, version)
         for t in images:
             self.states[t].compact(version)
         self._compact_aggregates(version)
-        marks = [(r["hw"][0], r["hw"][1] or 0) for r in per_table if r["hw"] and r["hw"][0] is not None]
-        self.highwater = max([*marks, *([self.highwater] if self.highwater else [])], default=None)
-        self.batch, self.version = batch_id, version
-        self.catalog.log("batch", batch=batch_id, version=version, highwater=self.highwater, tables={t: {"bases": self.states[t].bases, "deltas": self.states[t].deltas} for t in images})
-        self.store.delete(f"work/{batch_id:09d}")
-        self.metrics.count("batches")
+        self.sets.compact(version)
+        self._agg_values = {k: v for k, v in self._agg_values.items() if k[1] == version} | {(i, version): v for (i, w), v in self._agg_values.items() if w == self.version and (i, version) not in self._agg_values}
+        self.version = version
         self.metrics.count("envelopes", sum(r["n"] for r in per_table))
-        self.metrics.batch.add(time.monotonic() - began)
+        return [(r["hw"][0], r["hw"][1] or 0) for r in per_table if r["hw"] and r["hw"][0] is not None], set(images)
 
     def _images(self, new: DataFrame, schema: TableSchema, count: int, cut: bool) -> DataFrame:
         """(key, old, new) of every key that the batch changes."""
@@ -391,32 +471,60 @@ class LiveEngine:
             image = F.coalesce(image, F.col("old"))
         return joined.select("key", "old", image.alias("new")).filter("not (old <=> new)")
 
-    def _advance(self, images: dict[str, DataFrame], version: int) -> None:
-        live = [s for s in self.shapes.values() if s.record.dormant_at is None]
+    def _advance(self, images: dict[str, DataFrame], counts: dict[str, int], version: int) -> None:
+        images = {t: im for t, im in images.items() if counts[t]}
+        live, todo = [s for s in self.shapes.values() if s.record.dormant_at is None], []
         for t, im in images.items():
             plain = {s.record.id: s for s in live if s.record.table == t and s.agg is None and not subqueries(s.predicate)}
             if plain:
-                self._write(self._filtered(im, t, plain, version), self._feed_path(version, f"rows-{t}"))
+                todo.append(partial(lambda im, t, plain: self._write(self._filtered(im, t, plain, version), self._feed_path(version, f"rows-{t}")), im, t, plain))
             aggs = {s.record.id: s for s in live if s.record.table == t and s.agg is not None}
             if aggs:
-                self._advance_aggregates(im, t, aggs, version)
+                todo.append(partial(self._advance_aggregates, im, t, aggs, version))
             if t in self.counts:
-                gone = im.filter("old is not null").select("old.*").withColumn(zset.WEIGHT, F.lit(-1))
-                come = im.filter("new is not null").select("new.*").withColumn(zset.WEIGHT, F.lit(1))
-                was = self.group_counts(t).withColumnRenamed("cnt", zset.WEIGHT)
-                cols = self.counts[t]
-                moved = gone.unionByName(come).select(*cols, zset.WEIGHT).unionByName(was)
-                self._write(agg_ops.group_counts(moved, cols, zset.WEIGHT), self._counts_path(t, version))
-        self._moved_by.clear()
-        touched = [s for s in live if s.agg is None and subqueries(s.predicate) and ({s.record.table} | tables(s.predicate)) & set(images)]
+                todo.append(partial(self._advance_counts, im, t, version))
         families: dict[tuple, list[_Shape]] = {}
-        for s in touched:
-            families.setdefault(_template(s) or (s.record.id,), []).append(s)
+        for s in live:
+            if s.agg is None and subqueries(s.predicate):
+                families.setdefault(_template(s) or (s.record.id,), []).append(s)
+        met: set[str] = set()
+        todo.append(lambda: met.update(self._met([found[0] for found in families.values()], images)))
+        flips: dict[str, DataFrame] = {}
+        todo.append(lambda: flips.update(self.sets.advance(images, counts, version)))
+        self.together(todo)
+
+        def advance(found: list[_Shape]) -> None:
+            s = found[0]
+            rows = self._family(found, images if s.record.id in met else {}, counts, flips, version) if _template(s) else self._membership(s, images, counts, flips, version)
+            if rows is not None:
+                self._write(rows, self._feed_path(version, f"{'family' if _template(s) else 'member'}-{s.record.id}"))
+
+        todo = []
         for found in families.values():
-            if len(found) > 1:
-                self._write(self._family(found, images, version), self._feed_path(version, f"family-{found[0].record.id}"))
+            if found[0].record.id in met or any(self.sets.split(x)[0] in flips for x in subqueries(found[0].predicate)):
+                todo.append(partial(advance, found))
+                self.metrics.count("queries_advanced", len(found))
             else:
-                self._write(self._membership(found[0], images, version), self._feed_path(version, f"member-{found[0].record.id}"))
+                self.metrics.count("queries_passed_over", len(found))
+        self.together(todo)
+
+    def _advance_counts(self, im: DataFrame, t: str, version: int) -> None:
+        gone = im.filter("old is not null").select("old.*").withColumn(zset.WEIGHT, F.lit(-1))
+        come = im.filter("new is not null").select("new.*").withColumn(zset.WEIGHT, F.lit(1))
+        was = self.group_counts(t).withColumnRenamed("cnt", zset.WEIGHT)
+        cols = self.counts[t]
+        moved = gone.unionByName(come).select(*cols, zset.WEIGHT).unionByName(was)
+        self._write(agg_ops.group_counts(moved, cols, zset.WEIGHT), self._counts_path(t, version))
+
+    def _met(self, shapes: list[_Shape], images: dict[str, DataFrame]) -> set[str]:
+        """The queries of which an old or new image meets all conjuncts that hold no subquery."""
+        out: set[str] = set()
+        for t, im in images.items():
+            plain = {s.record.id: And(tuple(x for x in conjuncts(s.predicate) if not subqueries(x))) for s in shapes if s.record.table == t}
+            if plain:
+                rows = im.filter("old is not null").select("old.*").unionByName(im.filter("new is not null").select("new.*"))
+                out |= {r[0] for r in route.route_all(rows, self.schemas[t], plain).select("_query").distinct().collect()}
+        return out
 
     def _values(self, found: dict[str, _Shape], schema: TableSchema, prefix: str) -> Column:
         """The wire form of a row for the query in _query: its own projection."""
@@ -443,107 +551,79 @@ class LiveEngine:
         old = F.max_by(F.when(F.col(zset.WEIGHT) < 0, F.col("row")), F.when(F.col(zset.WEIGHT) < 0, F.lit(1)).otherwise(F.lit(0)))
         new = F.max_by(F.when(F.col(zset.WEIGHT) > 0, F.col("row")), F.when(F.col(zset.WEIGHT) > 0, F.lit(1)).otherwise(F.lit(0)))
         out = both.groupBy("shape_id", "key").agg((F.max(zset.WEIGHT) > 0).alias("in"), new.alias("value"), old.alias("old"))
+        out = out.filter("not (in and map_entries(value) <=> map_entries(old))")  # what a query doesn't show hasn't changed
         return out.select("shape_id", "key", F.when(F.col("in"), "upsert").otherwise("delete").alias("op"), F.when(F.col("in"), F.col("value")).alias("value"), "old", F.lit(version).cast("long").alias("version"))
 
     # ---- subqueries
 
-    def _touched(self, t: str, p: Predicate | None, images: dict[str, DataFrame], version: int) -> DataFrame | None:
-        """Keys of the rows of t for which the predicate can have changed; None: of all rows."""
-        schema = self.schemas[t]
-        keys = [images[t].select("key")] if t in images else []
-        for leaf in subqueries(p):
-            if not ({leaf.table} | tables(leaf.where)) & set(images):
-                continue
-            moved = self._moved(leaf, images, version)
-            if moved is None:
-                return None
-            values, special = moved
-            if null_sensitive(p, leaf) and special:
-                return None
-            for v in (self.version, version):
-                rows = self.table(t, v)
-                keys.append(rows.join(values, rows[leaf.col] == values["value"], "left_semi").select(schema.key().alias("key")))
-        out = keys[0] if keys else self.table(t, version).limit(0).select(schema.key().alias("key"))
-        for k in keys[1:]:
-            out = out.union(k)
-        return out.distinct()
-
-    def _moved(self, leaf: In, images: dict[str, DataFrame], version: int) -> tuple[DataFrame, bool] | None:
-        """_moves(), once in a batch for equal subqueries of different queries."""
-        name = f"{leaf.table}|{leaf.project}|{canonical(leaf.where)}"
-        if name not in self._moved_by:
-            self._moved_by[name] = self._moves(leaf, images, version)
-        return self._moved_by[name]
-
-    def _moves(self, leaf: In, images: dict[str, DataFrame], version: int) -> tuple[DataFrame, bool] | None:
-        """The values that a subquery's set gained or lost, and whether NULL or emptiness changed;
-        None where every value can have."""
-        t, schema = leaf.table, self.schemas[leaf.table]
-        keys = self._touched(t, leaf.where, images, version)
-        sets, near = [], []
-        for v in (self.version, version):
-            rows = comp.where(self.table(t, v), leaf.where, self._tables(tables(leaf.where), v))
-            sets.append(rows.select(F.col(leaf.project).alias("value")))
-            raw = self.table(t, v)
-            near.append((raw if keys is None else raw.withColumn("_k", schema.key()).join(keys.withColumnRenamed("key", "_k"), "_k", "left_semi")).select(F.col(leaf.project).alias("value")))
-        candidates = near[0].union(near[1]).distinct()
-        held = [s.join(candidates, "value", "left_semi").distinct() for s in sets]
-        changed = zset.flips(*held).select("value").filter("value is not null")
-        path = self.store.path(f"work/{self.batch + 1:09d}/moved-{uuid.uuid4().hex[:8]}")
-        self._write(changed, path)
-        facts = [s.agg(F.count(F.lit(1)) == 0, F.count_if(F.col("value").isNull()) > 0).first() for s in sets]
-        return self.spark.read.schema(changed.schema).parquet(path), tuple(facts[0]) != tuple(facts[1])
-
-    def _membership(self, s: _Shape, images: dict[str, DataFrame], version: int) -> DataFrame:
+    def _difference(self, a: DataFrame, b: DataFrame, version: int) -> DataFrame:
+        """Feed rows from (shape_id, key, value) before and after."""
+        a, b = a.alias("a"), b.alias("b")
+        both = a.join(b, ["shape_id", "key"], "full_outer").filter("not (map_entries(a.value) <=> map_entries(b.value))")
+        return both.select("shape_id", "key", F.when(F.col("b.value").isNull(), "delete").otherwise("upsert").alias("op"), F.col("b.value").alias("value"), F.col("a.value").alias("old"), F.lit(version).cast("long").alias("version"))
+
+    def _membership(self, s: _Shape, images: dict[str, DataFrame], counts: dict[str, int], flips: dict[str, DataFrame], version: int) -> DataFrame | None:
         """Feed rows of a query with subqueries: its verdicts before and after, on what can have changed."""
         r, schema = s.record, self.schemas[s.record.table]
-        keys = self._touched(r.table, s.predicate, images, version)
-        sides = []
-        for v in (self.version, version):
-            rows = self.table(r.table, v)
-            if keys is not None:
-                rows = rows.withColumn("_k", schema.key()).join(keys.withColumnRenamed("key", "_k"), "_k", "left_semi").drop("_k")
-            got = comp.where(rows, s.predicate, self._tables(tables(s.predicate), v))
-            sides.append(got.select(schema.key().alias("key"), comp.row_text(schema, r.columns).alias("value")))
-        a, b = sides[0].alias("a"), sides[1].alias("b")
-        both = a.join(b, "key", "full_outer").filter("not (map_entries(a.value) <=> map_entries(b.value))")
-        return both.select(F.lit(r.id).alias("shape_id"), "key", F.when(F.col("b.value").isNull(), "delete").otherwise("upsert").alias("op"), F.col("b.value").alias("value"), F.col("a.value").alias("old"), F.lit(version).cast("long").alias("version"))
-
-    def _family(self, found: list[_Shape], images: dict[str, DataFrame], version: int) -> DataFrame:
+        olds, news, few = self.sets.near(r.table, s.predicate, images, counts, flips, version, r.id)
+        if olds is None:
+            return None
+        sides = [self.sets.decided(r.table, rows, s.predicate, v, few).select(F.lit(r.id).alias("shape_id"), schema.key().alias("key"), comp.row_text(schema, r.columns).alias("value")) for rows, v in ((olds, self.version), (news, version))]
+        return self._difference(*sides, version)
+
+    def _binds(self, found: list[_Shape]) -> tuple[In, DataFrame | list[str]]:
+        """The subquery of a family, and (shape_id, b0…) of its queries, or their ids if they bind nothing."""
+        leaves = [next(y for y in conjuncts(x.predicate) if isinstance(y, In)) for x in found]
+        cols, struct = subquery_template(leaves[0].where)[0], self.schemas[leaves[0].table].struct()
+        if not cols:
+            return leaves[0], [x.record.id for x in found]
+        ddl = ", ".join(["shape_id string", *(f"b{i} {struct[c].dataType.simpleString()}" for i, c in enumerate(cols))])
+        params = self.spark.createDataFrame([(x.record.id, *subquery_template(leaf.where)[1]) for x, leaf in zip(found, leaves, strict=True)], ddl)
+        return leaves[0], F.broadcast(params) if len(found) <= route.BROADCAST_ROWS else params
+
+    def _bound(self, values: DataFrame, params: DataFrame | list[str]) -> DataFrame:
+        """(shape_id, …) of a node's rows (b0…, value, …), once for each query of a family that binds them."""
+        if isinstance(params, list):
+            return values.withColumn("shape_id", F.explode(F.array(*map(F.lit, params))))
+        on = [c for c in params.columns if c != "shape_id"]
+        return values.join(params, on).drop(*on)
+
+    def _family(self, found: list[_Shape], images: dict[str, DataFrame], counts: dict[str, int], flips: dict[str, DataFrame], version: int) -> DataFrame | None:
         """Feed rows of queries that differ only in the values that their subquery's columns must
         equal: those values are rows of a table, and one plan serves all of the queries."""
-        s = found[0]
-        r, schema = s.record, self.schemas[s.record.table]
-        leaf = next(x for x in conjuncts(s.predicate) if isinstance(x, In))
-        keys = [images[r.table].select("key")] if r.table in images else []
-        if leaf.table in images:
-            im = images[leaf.table]
-            values = im.select(F.explode(F.array(F.col(f"old.{leaf.project}"), F.col(f"new.{leaf.project}"))).alias("value")).filter("value is not null").distinct()
-            for v in (self.version, version):
-                rows = self.table(r.table, v)
-                keys.append(rows.join(values, rows[leaf.col] == values["value"], "left_semi").select(schema.key().alias("key")))
-        near = keys[0]
-        for k in keys[1:]:
-            near = near.union(k)
-        near = near.distinct().withColumnRenamed("key", "_k")
-        a, b = (self._family_rows(found, v, near).alias(n) for v, n in ((self.version, "a"), (version, "b")))
-        both = a.join(b, ["shape_id", "key"], "full_outer").filter("not (map_entries(a.value) <=> map_entries(b.value))")
-        return both.select("shape_id", "key", F.when(F.col("b.value").isNull(), "delete").otherwise("upsert").alias("op"), F.col("b.value").alias("value"), F.col("a.value").alias("old"), F.lit(version).cast("long").alias("version"))
+        r, schema = found[0].record, self.schemas[found[0].record.table]
+        leaf, params = self._binds(found)
+        node, plain = self.sets.node(leaf), And(tuple(x for x in conjuncts(found[0].predicate) if not isinstance(x, In)))
+        text, out = comp.row_text(schema, r.columns), None
+        own = images.get(r.table)
+        if own is not None:
+            few, sides = counts[r.table] <= BROADCAST_VALUES, []
+            for side, v in (("old", self.version), ("new", version)):
+                rows = comp.where(own.filter(f"{side} is not null").select("key", f"{side}.*"), plain)
+                values = rows.select(F.col(leaf.col).alias("value")).filter("value is not null").distinct()
+                held = self._bound(self.sets.state(node, v, values, few).drop("w"), params).distinct().withColumnRenamed("value", "_v")
+                sides.append(rows.join(held, rows[leaf.col] == held["_v"]).select("shape_id", "key", text.alias("value")))
+            out = self._difference(*sides, version)
+        if node.id in flips:
+            moved = self._bound(flips[node.id].filter("value is not null"), params).withColumnRenamed("value", "_v")
+            rows = comp.where(self.table(r.table, version), plain).withColumn("_k", schema.key())
+            if r.table in counts and counts[r.table]:  # the images' rows are decided above, or meet no query
+                mine = self.spark.read.schema("key string").parquet(f"{self.work}/{version:09d}-images-{r.table}").select(F.col("key").alias("_k"))
+                rows = rows.join(F.broadcast(mine) if counts[r.table] <= BROADCAST_VALUES else mine, "_k", "left_anti")
+            hit = rows.join(moved, rows[leaf.col] == moved["_v"])
+            more = hit.select("shape_id", F.col("_k").alias("key"), F.when(F.col("now"), "upsert").otherwise("delete").alias("op"), F.when(F.col("now"), text).alias("value"), F.when(~F.col("now"), text).alias("old"), F.lit(version).cast("long").alias("version"))
+            out = more if out is None else out.unionByName(more)
+        return out
 
-    def _family_rows(self, found: list[_Shape], version: int, near: DataFrame | None) -> DataFrame:
-        """(shape_id, key, value) of a family's results at a version; only of the keys in ``near``, if given."""
+    def _family_rows(self, found: list[_Shape], version: int) -> DataFrame:
+        """(shape_id, key, value) of a family's results at a version."""
         r, schema = found[0].record, self.schemas[found[0].record.table]
-        leaf = next(x for x in conjuncts(found[0].predicate) if isinstance(x, In))
-        plain = And(tuple(x for x in conjuncts(found[0].predicate) if x is not leaf))
-        cols, _, residual = subquery_template(leaf.where)
-        members = {x.record.id: subquery_template(next(y for y in conjuncts(x.predicate) if isinstance(y, In)).where)[1] for x in found}
+        leaf, params = self._binds(found)
+        self.sets.ensure(found[0].predicate)
+        plain = And(tuple(x for x in conjuncts(found[0].predicate) if not isinstance(x, In)))
         outer = comp.where(self.table(r.table, version), plain).withColumn("_k", schema.key())
-        if near is not None:
-            outer = outer.join(near, "_k", "left_semi")
-        inner = route.route(comp.where(self.table(leaf.table, version), residual), self.schemas[leaf.table], members, cols)
-        held = inner.select(F.col("_query").alias("shape_id"), F.col(leaf.project).alias("_v")).filter("_v is not null").distinct()
-        hit = outer.join(held, outer[leaf.col] == held["_v"])
-        return hit.select("shape_id", F.col("_k").alias("key"), comp.row_text(schema, r.columns).alias("value"))
+        held = self._bound(self.sets.state(self.sets.node(leaf), version).filter("value is not null").drop("w"), params).distinct().withColumnRenamed("value", "_v")
+        return outer.join(held, outer[leaf.col] == held["_v"]).select("shape_id", F.col("_k").alias("key"), comp.row_text(schema, r.columns).alias("value"))
 
     # ---- aggregates
 
@@ -599,18 +679,16 @@ class LiveEngine:
     def _advance_aggregates(self, im: DataFrame, t: str, found: dict[str, _Shape], version: int) -> None:
         gone = im.filter("old is not null").select("old.*").withColumn(zset.WEIGHT, F.lit(-1).cast("long"))
         come = im.filter("new is not null").select("new.*").withColumn(zset.WEIGHT, F.lit(1).cast("long"))
-        before = self._values_of(found)
+        unknown = {i: s for i, s in found.items() if (i, self.version) not in self._agg_values}
+        before = {i: self._agg_values.get((i, self.version)) for i in found} | (self._values_of(unknown, self.version) if unknown else {})
         self._record_aggregates(gone.unionByName(come), found, version, f"t-{t}")
-        was, self.version = self.version, version
-        try:
-            self._feed_aggregates(found, version, f"agg-{t}", before)
-        finally:
-            self.version = was
+        self._feed_aggregates(found, version, f"agg-{t}", before)
 
     def _feed_aggregates(self, found: dict[str, _Shape], version: int, what: str, before: dict | None) -> None:
         """One row {value, n} per aggregate: first always, later when its value changes."""
         rows = []
-        for i, (value, n) in self._values_of(found).items():
+        for i, (value, n) in self._values_of(found, version).items():
+            self._agg_values[i, version] = (value, n)
             if before is None or before[i][0] != value:
                 rows.append((i, AGG_KEY, "upsert", {"value": None if value is None else str(value), "n": str(n)}, None, version))
         if rows:
@@ -619,16 +697,17 @@ class LiveEngine:
     def _agg_names(self) -> list[str]:
         return [n for n in self.store.list("agg") if n not in self.gone and (not n.endswith("-folded") or n in self.folded)]
 
-    def _agg_parts(self, kind: str, schema: str) -> DataFrame:
-        names = [n for n in self._agg_names() if f"-{kind}-" in n and int(n.split("-")[0]) <= self.version]
+    def _agg_parts(self, kind: str, schema: str, version: int | None = None) -> DataFrame:
+        version = self.version if version is None else version
+        names = [n for n in self._agg_names() if f"-{kind}-" in n and int(n.split("-")[0]) <= version]
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self.store.path(f"agg/{n}") for n in names])
 
-    def _values_of(self, found: dict[str, _Shape]) -> dict[str, tuple]:
+    def _values_of(self, found: dict[str, _Shape], version: int) -> dict[str, tuple]:
         """(value, n) of many aggregates at once; one row each reaches the driver."""
         ids = self.spark.createDataFrame([(i, s.record.since) for i, s in found.items()], "shape_id string, since bigint")
-        mine = lambda kind, schema: self._agg_parts(kind, schema).join(F.broadcast(ids) if len(found) <= route.BROADCAST_ROWS else ids, "shape_id").filter("version >= since")
+        mine = lambda kind, schema: self._agg_parts(kind, schema, version).join(F.broadcast(ids) if len(found) <= route.BROADCAST_ROWS else ids, "shape_id").filter("version >= since")
         sums = {r["shape_id"]: r for r in mine("sums", self._AGG).groupBy("shape_id").agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("total").alias("total")).collect()}
         best: dict[str, tuple] = {}
         by_type: dict[str, list[str]] = {}
@@ -658,17 +737,15 @@ class LiveEngine:
         names = [n for n in self._agg_names() if int(n.split("-")[0]) <= version]
         if len(names) <= MOST_PARTS:
             return
-        was, self.version = self.version, version
         since = {i: s.record.since for i, s in self.shapes.items() if s.agg is not None}
         live = F.lit(False)
         for i, v in since.items():
             live = live | ((F.col("shape_id") == i) & (F.col("version") >= v))
-        sums = self._agg_parts("sums", self._AGG).filter(live).groupBy("shape_id").agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("total").alias("total"), F.max("version").alias("version"))
-        bags = self._agg_parts("bags", self._BAG).filter(live).groupBy("shape_id", "v").agg(F.sum("w").alias("w"), F.max("version").alias("version")).filter("w != 0")
+        sums = self._agg_parts("sums", self._AGG, version).filter(live).groupBy("shape_id").agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.sum("total").alias("total"), F.max("version").alias("version"))
+        bags = self._agg_parts("bags", self._BAG, version).filter(live).groupBy("shape_id", "v").agg(F.sum("w").alias("w"), F.max("version").alias("version")).filter("w != 0")
         new = [f"{version:09d}-sums-folded", f"{version:09d}-bags-folded"]
         self._write(sums, self.store.path(f"agg/{new[0]}"))
         self._write(bags, self.store.path(f"agg/{new[1]}"))
-        self.version = was
         # this event is the switch: until it is in the catalog the new files don't count, then the old ones don't
         self.catalog.log("folded", gone=names, new=new)
         self.folded, self.gone = set(new), self.gone | set(names)

@@ -31,7 +31,7 @@ class Histogram:
 
 @dataclass
 class Metrics:
-    counters: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("batches", "envelopes", "changed_keys", "shapes_created", "shapes_shared"), 0))
+    counters: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("batches", "envelopes", "changed_keys", "shapes_created", "shapes_shared", "flipped_sets", "queries_advanced", "queries_passed_over"), 0))
     batch: Histogram = field(default_factory=Histogram)
     create: Histogram = field(default_factory=Histogram)
 

@@ -8,6 +8,7 @@ from brooklet.operators.predicate import matches, validate
 from brooklet.operators.where_parser import parse
 from brooklet.schema import TableSchema, ValidationError
 from brooklet.streaming import engine as engine_module
+from brooklet.streaming import membership
 from brooklet.streaming.engine import LiveEngine
 from brooklet.streaming.protocol import MustRefetch, ShapeProtocol
 
@@ -16,7 +17,8 @@ USERS = TableSchema.from_json("users", {"columns": {"id": "int", "name": "text",
 TEAMS = TableSchema.from_json("teams", {"columns": {"id": "int", "owner": "int", "open": "bool"}, "primaryKey": "id"})
 
 SHAPES = [None, "age > 500", "name = 'alpha'", "name = 'bravo'", "active = true AND name = 'echo'", "NOT (age <= 300) OR score IS NULL", "name LIKE '%a' AND age IS NOT NULL",
-          "id IN (SELECT owner FROM teams WHERE open = true)", "id IN (SELECT owner FROM teams WHERE open = false)", "name LIKE '%a' AND id IN (SELECT owner FROM teams WHERE id = 3 AND owner > 2)", "id IN (SELECT owner FROM teams WHERE id = 4 AND owner > 2) AND name LIKE '%a'", "id NOT IN (SELECT owner FROM teams WHERE open = true)", "age > 400 OR id IN (SELECT owner FROM teams)"]
+          "id IN (SELECT owner FROM teams WHERE open = true)", "id IN (SELECT owner FROM teams WHERE open = false)", "name LIKE '%a' AND id IN (SELECT owner FROM teams WHERE id = 3 AND owner > 2)", "id IN (SELECT owner FROM teams WHERE id = 4 AND owner > 2) AND name LIKE '%a'", "id NOT IN (SELECT owner FROM teams WHERE open = true)", "age > 400 OR id IN (SELECT owner FROM teams)",
+          "id IN (SELECT owner FROM teams WHERE id IN (SELECT age FROM users WHERE active = true) OR open = true)", "NOT (id IN (SELECT owner FROM teams WHERE owner NOT IN (SELECT id FROM users WHERE age > 500)))"]
 AGGREGATES = [("count", None, None), ("count", "age", "active = true"), ("sum", "score", None), ("avg", "age", "name = 'alpha'"), ("min", "age", None), ("max", "name", "age > 100")]
 
 
@@ -92,6 +94,8 @@ def test_random_changes(spark, tmp_path, monkeypatch, seed):
     rng, model = random.Random(seed), Model()
     e = engine_with(spark, tmp_path)
     monkeypatch.setattr(engine_module, "MOST_PARTS", 4)
+    monkeypatch.setattr(engine_module, "MOST_FEEDS", 25)
+    monkeypatch.setattr(membership, "MOST_DELTAS", 1)
     shapes = {e.create_shape("users", t): t for t in SHAPES}
     aggs = {e.create_aggregate("users", fn, col, t): (fn, col, t) for fn, col, t in AGGREGATES}
     assert e.create_shape("users", "name = 'alpha' AND active = true AND age > 1") != e.create_shape("users", "age > 1 AND name = 'alpha'")
@@ -110,7 +114,7 @@ def test_random_changes(spark, tmp_path, monkeypatch, seed):
     assert {(r["name"], r["active"]): r["cnt"] for r in e.group_counts("users").collect()} == want
     # a restart goes on from the catalog and the checkpoint
     again = LiveEngine(spark, f"file://{tmp_path}")
-    assert again.version == e.version and set(again.shapes) == set(e.shapes)
+    assert again.version == e.version and set(again.shapes) == set(e.shapes) and again.sets.marks() == e.sets.marks() and again.feeds == e.feeds != set()
     late = {again.create_shape("users", "score > 1", ["name"]): None}
     write(again, model, [change(rng) for _ in range(20)])
     again.run()
@@ -139,6 +143,48 @@ def test_random_changes(spark, tmp_path, monkeypatch, seed):
     assert {r["id"] for r in again.rows(sleeper).collect()} == set(model.select("users", "age < 250"))
 
 
+def test_every_commit_leaves_its_trace(spark, tmp_path):
+    """Commits of one drain are versions of their own, queries that a change cannot concern are passed
+    over, and what only a dropped query used goes with it."""
+    e = LiveEngine(spark, f"file://{tmp_path}", flush="commit")
+    for s in (USERS, TEAMS):
+        e.define_table(s)
+    row = {"id": 7, "name": "alpha", "age": 9, "active": True, "score": 1.0}
+    plain = e.create_shape("users", "age > 5", ["id"])
+    inner = e.create_shape("users", "age < 100 AND id IN (SELECT owner FROM teams WHERE open = true)", ["id"])
+    other = e.create_shape("users", "age > 900 AND id IN (SELECT owner FROM teams WHERE open = true AND id < 100)", ["id"])
+    e.write("users", "insert", row=row)
+    e.write("teams", "insert", row={"id": 1, "owner": 7, "open": True})
+    e.write("teams", "update", {"id": 1}, {"open": False})
+    e.write("users", "update", {"id": 7}, {"name": "bravo"})
+    e.write("users", "delete", {"id": 7})
+    e.run()
+    fed = lambda i: [(r["version"], r["op"], r["key"]) for r in e.feed(i).orderBy("version").collect()]
+    assert e.version == 5 and fed(plain) == [(1, "upsert", "7"), (5, "delete", "7")]
+    assert fed(inner) == [(2, "upsert", "7"), (3, "delete", "7")] and fed(other) == []
+    assert e.metrics.counters["queries_passed_over"] >= 3
+    node = e.sets.node(_first_subquery(e, inner))
+    assert set(e.sets.nodes) == {node.id} and [(r["value"], r["w"]) for r in e.sets.state(node, 2).collect()] == [(7, 1)]
+    sizes = e.feed_bytes()
+    assert sizes[plain] > 0 and inner in sizes
+    from brooklet.streaming.retention import Limits
+
+    for i in (plain, other):
+        e.release(i)
+    e.sweep(Limits(idle=1), now=__import__("time").monotonic() + 5)
+    assert e.sweep(Limits(idle=0, most_bytes=sizes[inner])).evict[0] in (plain, other)
+    e.purge(inner)
+    if other in e.shapes:
+        e.purge(other)
+    assert not e.sets.nodes and not LiveEngine(spark, f"file://{tmp_path}").sets.nodes
+
+
+def _first_subquery(e, shape):
+    from brooklet.operators.predicate import subqueries
+
+    return subqueries(e.shapes[shape].predicate)[0]
+
+
 def test_a_broken_engine_is_caught(spark, tmp_path):
     e, model = engine_with(spark, tmp_path), Model()
     shape = e.create_shape("users", "age > 5")
