@@ -16,6 +16,7 @@ from brooklet.operators.params import collect, substitute
 from brooklet.operators.predicate import And, In, Or, Predicate, from_json, tables, validate
 from brooklet.operators.subset import query_subset
 from brooklet.operators.where_parser import parse
+from brooklet.plans.parts import PARTS
 from brooklet.plans.replay import HIGH, PRIORITIES, replay
 from brooklet.schema import TableSchema
 
@@ -252,8 +253,8 @@ _OWN: dict[str, tuple[Query, str]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {n: _filter(t, w) for n, (t, w) in _SAME.items()} | {n: q for n, (q, _) in _OWN.items()}
+    return {n: _filter(t, w) for n, (t, w) in _SAME.items()} | {n: q for n, (q, _) in (_OWN | PARTS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: f"SELECT * FROM {t} WHERE {w}" for n, (t, w) in _SAME.items()} | {n: sql for n, (_, sql) in _OWN.items()}
+    return {n: f"SELECT * FROM {t} WHERE {w}" for n, (t, w) in _SAME.items()} | {n: sql for n, (_, sql) in (_OWN | PARTS).items()}

@@ -18,6 +18,7 @@ from brooklet.operators.predicate import subqueries
 from brooklet.schema import TableSchema
 from brooklet.sources.fs import scratch_root
 from brooklet.streaming.engine import LiveEngine
+from brooklet.streaming.protocol import ShapeProtocol
 from brooklet.streaming.retention import Limits
 
 _COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
@@ -47,6 +48,9 @@ class Replay:
         schema = e.schemas["orders"]
         e.log.append_rows(schema, "upsert", orders)
         e.run()
+        asked = {"table": "public.orders", "where": "o_orderstatus = $1 AND o_totalprice > 100000", "params[1]": "F", "columns": "o_orderkey"}
+        self.protocol = ShapeProtocol(e)
+        self.snapshot = self.protocol.get(asked | {"offset": "-1"})
         self.late = e.create_shape("orders", "o_totalprice < 50000", ["o_orderkey"])
         e.release(self.sleeper)
         e.sweep(Limits(idle=1), now=time.monotonic() + 5)
@@ -56,6 +60,7 @@ class Replay:
         e.reactivate(self.sleeper)
         e.log.append_rows(schema, "update", orders.filter((F.col("o_orderkey") % 11 != 0) & (F.col("o_totalprice") < HIGH * top) & (F.col("o_orderkey") % 7 == 0)).withColumn("o_orderstatus", F.lit("F")), columns=["o_orderkey", "o_orderstatus"])
         e.run()
+        self.live = self.protocol.get({"table": "orders"} | {k: self.snapshot["headers"][k] for k in ("handle", "offset")})
 
     def contributors(self) -> DataFrame:
         """The state behind the subquery: its values, and how many rows hold each up."""

@@ -66,16 +66,21 @@ class _Batch(_Segments, DataSourceReader):
 
 
 class _Stream(_Segments, DataSourceStreamReader):
-    """Offsets count segments."""
+    """An offset is the name of the last segment read. A segment that arrives with an earlier name is out
+    of the log's order, and an error."""
 
     def initialOffset(self) -> dict:
-        return {"segments": 0}
+        return {"after": "", "segments": 0}
 
     def latestOffset(self) -> dict:
-        return {"segments": len(self.names())}
+        names = self.names()
+        return {"after": names[-1] if names else "", "segments": len(names)}
 
     def partitions(self, start: dict, end: dict) -> list[Segment]:
-        return [Segment(os.path.join(self.folder, n)) for n in self.names()[start["segments"] : end["segments"]]]
+        names = [n for n in self.names() if n <= end["after"]]
+        if sum(n <= start["after"] for n in names) > start["segments"] or len(names) > end["segments"]:
+            raise ValueError(f"a segment was added before {end['after']}, out of order")
+        return [Segment(os.path.join(self.folder, n)) for n in names if n > start["after"]]
 
     def commit(self, end: dict) -> None:
         pass

@@ -11,6 +11,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from brooklet.operators.params import collect, substitute
 from brooklet.schema import ValidationError
@@ -114,19 +115,21 @@ class ShapeProtocol:
     # ---- views
 
     def rows(self, shape: str, limit: int = ROWS_DEFAULT) -> list[dict]:
-        """Rows by key, numerically where keys are numbers."""
-        found = self.folded(shape)
-        return [{"key": k, "value": found[k]} for k in sorted(found, key=numeric)[: min(limit, ROWS_MOST)]]
+        """Rows by key, numerically where keys are numbers; only those shown reach the driver."""
+        last = self.engine.feed(shape).groupBy("key").agg(F.max_by(F.struct("op", "value"), "version").alias("l")).filter("l.op = 'upsert'")
+        number = F.col("key").try_cast("decimal(38,0)")
+        shown = last.orderBy(number.isNull(), number, "key").limit(min(limit, ROWS_MOST))
+        return [{"key": r["key"], "value": dict(r["l"]["value"])} for r in shown.collect()]
 
     def log(self, shape: str, limit: int = LOG_DEFAULT) -> list[dict]:
         """The last feed entries as insert, update or delete."""
-        seen: set[str] = set()
-        out = []
-        for r in sorted(self.engine.feed(shape).collect(), key=lambda r: (r["version"], r["op"] == "delete", numeric(r["key"]))):
-            op = "delete" if r["op"] == "delete" else "update" if r["key"] in seen else "insert"
-            (seen.discard if op == "delete" else seen.add)(r["key"])
-            out.append({"op": op, "key": r["key"], "value": None if r["value"] is None else dict(r["value"]), "version": r["version"]})
-        return out[-min(limit, LOG_MOST) :]
+        number = F.col("key").try_cast("decimal(38,0)")
+        before = F.lag("op").over(W.partitionBy("key").orderBy("version"))
+        fed = self.engine.feed(shape).withColumn("was", before)
+        order = [F.col("version"), F.col("op") == "delete", number.isNull(), number, F.col("key")]
+        last = fed.orderBy(*[c.desc() for c in order]).limit(min(limit, LOG_MOST)).collect()
+        kind = lambda r: "delete" if r["op"] == "delete" else "update" if r["was"] == "upsert" else "insert"
+        return [{"op": kind(r), "key": r["key"], "value": None if r["value"] is None else dict(r["value"]), "version": r["version"]} for r in reversed(last)]
 
 
 def numeric(key: str) -> tuple:
