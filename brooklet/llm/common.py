@@ -8,6 +8,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so the default of 10,000 is too many.
 BATCH_ROWS = 500
+#: Rows of one join value that go to one task, and hot values (under 40 bytes each) up to which
+#: their list is broadcast; a longer list is joined by a shuffle.
+HOT, BROADCAST_HOT = 1024, 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +77,26 @@ def if_small(side: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(side) if rows <= most else side
 
 
+def hot_values(rows: DataFrame, *on: str) -> DataFrame:
+    """How many rows hold each value of ``on`` (column ``c``), where that is more than HOT."""
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT)
+
+
+def join_dealt(scratch: Scratch, rows: DataFrame, side: DataFrame, on: list[str], by: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side`` (one row for each value of ``on``). Rows of a ``hot`` value (with
+    its count ``c``) are dealt over several tasks by a hash of ``by``, and the side's row of that
+    value is copied to each of them. Rows with a null in ``on`` match nothing and are dealt too."""
+    hot = scratch.cut(hot.select(*on, F.ceil(F.col("c") / HOT).cast("int").alias("_parts")), "hot")
+    if not (n := hot.count()):
+        return rows.join(side, on, how)
+    few = if_small(hot, n, BROADCAST_HOT)
+    blank = reduce(or_, [F.col(c).isNull() for c in on])
+    parts = F.when(blank, F.lit(1024)).otherwise(F.coalesce("_parts", F.lit(1)))
+    dealt = rows.join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), *by), parts).cast("int")).drop("_parts")
+    copied = side.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*on, "_part"], how).drop("_part")
+
+
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file; the folder is a parameter (``BROOKLET_TOKENIZERS``)."""
     return os.path.join(os.environ.get("BROOKLET_TOKENIZERS", "/opt/tokenizers"), name)

@@ -161,8 +161,8 @@ def _confirm(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, w: int)
     few = common.if_small(ids, ids.count(), BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
     sets = scratch.cut(texts.mapInArrow(lambda b: _sets(b, w), "id long, s array<long>").distinct(), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
-    two = one.join(sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
+    one = common.join_dealt(scratch, pairs, sets.select(F.col("id").alias("u"), F.col("s").alias("su")), ["u"], ["v"], common.hot_values(pairs, "u"))
+    two = common.join_dealt(scratch, one, sets.select(F.col("id").alias("v"), F.col("s").alias("sv")), ["v"], ["u"], common.hot_values(pairs, "v"))
     both = F.size(F.array_intersect("su", "sv"))
     out = scratch.cut(two.withColumn("i", both).filter("100 * i >= 80 * (size(su) + size(sv) - i)").select("u", "v").distinct(), "links")
     scratch.drop(ids, sets)
@@ -195,7 +195,12 @@ def _within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
 
-def _led(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+def _hot_keys(members: DataFrame) -> DataFrame:
+    """The keys that more than HOT members hold, with that count."""
+    return members.filter(F.col("c") > common.HOT).groupBy("key").agg(F.max("c").alias("c"))
+
+
+def _led(scratch: common.Scratch, members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """Pairs of each key's members and leader; whom a key takes for its leader changes with the turn."""
     if turn == 0:
         lead = members.groupBy("key").agg(F.max_by("id", "company").alias("leader"))
@@ -203,9 +208,12 @@ def _led(members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
         lead = members.groupBy("key").agg(F.min("id").alias("leader"))
     else:
         lead = members.groupBy("key").agg(F.max_by("id", F.xxhash64(F.lit(turn), "id")).alias("leader"))
-    met = members.join(lead, "key").filter("id != leader").select(*_pair("id", "leader")).distinct()
     a, b = classes.alias("a"), classes.alias("b")
-    return met.join(a, F.expr("u = a.id")).join(b, F.expr("v = b.id")).filter(_fits("a", "b")).select("u", "v")
+    # a leader leads no more keys than a text has, so its signature is joined to keys, not to pairs
+    lead = lead.join(b, F.expr("leader = b.id")).select("key", "leader", *[F.col(f"b.{c}").alias(f"_{c}") for c in ("n", *_PACKED)])
+    met = common.join_dealt(scratch, members.select("id", "key"), lead, ["key"], ["id"], _hot_keys(members)).filter("id != leader")
+    b = met.select("id", "leader", *[F.col(f"_{c}").alias(c) for c in ("n", *_PACKED)]).alias("b")
+    return b.join(a, F.expr("a.id = b.id")).filter(_fits("a", "b")).select(*_pair("b.id", "b.leader")).distinct()
 
 
 def _rest(scratch: common.Scratch, docs: DataFrame, members: DataFrame, classes: DataFrame, w: int) -> DataFrame:
@@ -218,12 +226,12 @@ def _rest(scratch: common.Scratch, docs: DataFrame, members: DataFrame, classes:
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi")
     maps = scratch.cut(texts.mapInArrow(lambda b: _bitmaps(b, w), "id long, bits array<long>").distinct(), "bitmaps")
     left = scratch.cut(sized.join(maps.select("id"), "id", "left_semi").distinct(), "left")
-    held = left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    held = scratch.cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "held")
     a, b = left.join(held.filter(f"c <= {SMALL_KEY}"), "key").alias("a"), left.alias("b")
     small = a.join(b, F.expr("a.key = b.key and b.comp < a.comp and " + _fits("a", "b"))).select(*_pair("a.id", "b.id"))
     # a larger key is dealt out in blocks, and each pair of blocks is one group
     n = F.ceil(F.col("c") / BLOCK).cast("int")
-    large = left.join(held.filter(f"c > {SMALL_KEY}"), "key").join(maps, "id").withColumns({"blocks": n, "block": F.pmod(F.xxhash64(F.lit("block"), "id"), n).cast("int")})
+    large = common.join_dealt(scratch, left, held.filter(f"c > {SMALL_KEY}"), ["key"], ["id"], held.filter(F.col("c") > common.HOT)).join(maps, "id").withColumns({"blocks": n, "block": F.pmod(F.xxhash64(F.lit("block"), "id"), n).cast("int")})
     cells = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     found = cells.select("key", "i", "j", "block", "id", "n", "comp", *_PACKED, "bits").groupBy("key", "i", "j").applyInPandas(_within, "u long, v long")
     return scratch.cut(small.union(found).distinct(), "rest")
@@ -231,7 +239,9 @@ def _rest(scratch: common.Scratch, docs: DataFrame, members: DataFrame, classes:
 
 def _one_document(named: DataFrame, first: DataFrame) -> DataFrame:
     """Links (u, v) between the classes of doc_ids that repeat with different texts."""
-    held = named.join(first, ["d1", "d2"]).select("doc_id", "id").distinct()
+    texts = named.select("doc_id", "d1", "d2").distinct()
+    several = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
+    held = texts.join(several, "doc_id").join(first, ["d1", "d2"]).select("doc_id", "id").distinct()
     apart = held.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("most")).filter("v < most").select("doc_id", "v")
     return held.join(apart, "doc_id").filter("id != v").select(F.col("id").alias("u"), "v").distinct()
 
@@ -245,24 +255,24 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
     signed = scratch.cut(docs.mapInArrow(lambda b: _signed(b, w), _SIGNED), "signed")
     named = signed.filter("doc_id is not null and d1 is not null")
     first = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
-    every = scratch.cut(named.join(first, ["d1", "d2"]).filter("doc_id = id").dropDuplicates(["d1", "d2"]).select("id", "d1", "d2", "n", *_PACKED, "sig"), "classes")
+    every = scratch.cut(named.withColumnRenamed("doc_id", "id").join(first, ["id", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"]).select("id", "d1", "d2", "n", *_PACKED, "sig"), "classes")
     classes = common.if_small(every.select("id", "n", *_PACKED), every.count(), BROADCAST_CLASSES)
 
     # keys that several classes hold; one pass to count, one to take their members
     keys = _keys(every)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = scratch.cut(keys.join(shared, "key"), "members")
+    shared = scratch.cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    members = scratch.cut(common.join_dealt(scratch, keys, shared, ["key"], ["id"], shared.filter(F.col("c") > common.HOT)), "members")
     company = members.groupBy("id").agg(F.sum("c").alias("company"))
-    members = scratch.cut(members.select("id", "key").join(company, "id"), "company")
+    members = scratch.cut(members.join(company, "id"), "company")
     comp, links = None, scratch.cut(_one_document(named, first), "links")
     for turn in range(TURNS):
-        new = _led(members, classes, turn)
+        new = _led(scratch, members, classes, turn)
         new = scratch.cut(new.join(links, ["u", "v"], "left_anti"), "candidates")
         links = scratch.cut(links.union(_confirm(scratch, docs, new, w)), "links")
         comp = scratch.cut(components(scratch, links), "components")
-        placed = members.select("id", "key").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
-        opened = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi and c > 2").select("key")
-        members = scratch.cut(placed.join(opened, "key").select("id", "key", "comp"), "open")
+        placed = members.select("id", "key", "c").join(comp.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("id", "key", "c", F.coalesce("comp", "id").alias("comp"))
+        opened = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("c").alias("most")).filter("lo < hi and most > 2").select("key")
+        members = scratch.cut(common.join_dealt(scratch, placed, opened, ["key"], ["id"], _hot_keys(members)), "open")
         if members.isEmpty():
             break
 
@@ -271,7 +281,8 @@ def near_duplicates(docs: DataFrame, w: int = 5, scratch: common.Scratch | None
         links = scratch.cut(links.union(_confirm(scratch, docs, rest, w)), "links")
         comp = scratch.cut(components(scratch, links), "components")
     ids = every.join(comp, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(ids, ["d1", "d2"], "left")
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
+    out = common.join_dealt(scratch, rows, ids, ["d1", "d2"], ["doc_id"], common.hot_values(rows, "d1", "d2"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

@@ -92,7 +92,7 @@ def test_residual_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TURNS", 1)
     monkeypatch.setattr(neardup, "SMALL_KEY", 3)
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "_led", lambda members, classes, turn: led(members.join(members.groupBy("key").count().filter("count = 2").select("key"), "key"), classes, turn))
+    monkeypatch.setattr(neardup, "_led", lambda scratch, members, classes, turn: led(scratch, members.join(members.groupBy("key").count().filter("count = 2").select("key"), "key"), classes, turn))
     texts = {i: t for i, t in _near_texts(21).items() if i % 2 == 0}
     want, _ = _components(texts, 2)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -100,6 +100,29 @@ def test_residual_blocks_lose_nothing(spark, monkeypatch):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_hot_keys_dealt_over_tasks_lose_nothing(spark, monkeypatch):
+    """Every join value of more than two rows counts as hot: keys, leaders and exact copies."""
+    monkeypatch.setattr(common, "HOT", 2)
+    texts = {i: t for i, t in _near_texts(22).items() if i % 2 == 0}
+    texts |= {2000 + i: texts[2 * i % 10] for i in range(30)} | {3000 + i: None for i in range(9)}
+    want, _ = _components(texts, 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 2).collect()} == want
+
+
+def test_dealt_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    scratch = common.Scratch(spark, "dealt")
+    rows = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 20), (3, 30), (3, 31)] + [(None, i) for i in range(40, 45)], "k long, i long")
+    side = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k long, s string")
+    for how in ("inner", "left"):
+        got = common.join_dealt(scratch, rows, side, ["k"], ["i"], common.hot_values(rows, "k"), how)
+        assert got.columns == ["k", "i", "s"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(side, "k", how).collect()))
+    none = rows.limit(0)
+    assert common.join_dealt(scratch, none, side, ["k"], ["i"], common.hot_values(none, "k")).count() == 0
+
+
 def test_ids_that_repeat_with_other_texts(spark):
     t, u, v = ("the river runs down to the sea and the wind is cold", "a house on the hill where light shall be seen by all", "quite another text that has nothing in common with these")
     rows = [(1, t), (1, u), (2, u), (3, t), (7, v), (9, v), (9, "some words of its own here"), (8, "some words of its own here"), (20, t + " x y z p q r"), (20, v + " a b"), (21, None), (21, "")]
