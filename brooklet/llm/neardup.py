@@ -22,6 +22,10 @@ that only one of two documents has is a shingle that the other lacks, which boun
 share, and so their similarity, exactly. In a group of copies that were changed a little too
 much to be linked, this leaves next to no pair.
 
+Rows of one key, leader or digest beyond common.HOT are dealt over several tasks (join_dealt). Not
+dealt are repeated rows of one doc_id with one text, which differ in nothing: Spark's skew handling
+has to split those.
+
 Defined cases: null, empty or blank text has an empty set, linked with nothing; a null doc_id
 takes no part, has a null component and is kept; rows that repeat a doc_id are one document, linked
 by any of its texts and with one component (each row has its own n_shingles); an empty table gives
