@@ -146,8 +146,7 @@ def _live_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(which: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = getattr(replay(spark, sf_dir), which)["messages"]
-        return spark.createDataFrame([(m["headers"]["operation"], m["key"]) for m in got if "key" in m], "operation string, key string")
+        return getattr(replay(spark, sf_dir), which)["messages"].frame().select("operation", "key")
 
     return run
 

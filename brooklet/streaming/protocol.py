@@ -1,15 +1,20 @@
 """The shape protocol: a query's rows as messages, first a snapshot, then what changed.
 
 A handle belongs to one snapshot of a (shared) query. Offsets are table versions. Unknown
-handles must start anew; handles idle for HANDLE_TTL seconds let go of their query.
+handles must start anew; handles idle for HANDLE_TTL seconds let go of their query. A response's
+messages stay in the cluster: they are read from the feed, as of the response's version, when they are
+iterated, and pass the driver one partition at a time.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,6 +43,32 @@ class _Handle:
     last_used: float
 
 
+class Messages(Sequence):
+    """A response's messages, the up-to-date one last. ``frame`` has (operation, key, value) of the others
+    in any order, ``ordered`` sorts them; both are built anew for each reading, as the feed's files may
+    have been folded meanwhile."""
+
+    def __init__(self, frame: Callable[[], DataFrame], ordered: Callable[[], DataFrame]):
+        self.frame, self._ordered, self._count = frame, ordered, None
+
+    def __iter__(self) -> Iterator[dict]:
+        for r in self._ordered().toLocalIterator():
+            yield {"headers": {"operation": r["operation"]}, "key": r["key"], "value": dict(r["value"])}
+        yield UP_TO_DATE
+
+    def __len__(self) -> int:
+        if self._count is None:
+            self._count = self.frame().count() + 1
+        return self._count
+
+    def __getitem__(self, i):
+        if isinstance(i, slice) or i < 0:
+            return list(self)[i] if isinstance(i, slice) else self[len(self) + i]
+        for m in islice(self, i, None):
+            return m
+        raise IndexError(i)
+
+
 class ShapeProtocol:
     def __init__(self, engine: LiveEngine, handle_ttl: float = HANDLE_TTL):
         self.engine, self.ttl = engine, handle_ttl
@@ -82,17 +113,30 @@ class ShapeProtocol:
         shape = self.engine.create_shape(table, where, columns)
         handle = f"{shape}-{uuid.uuid4().hex[:8]}"
         self.handles[handle] = _Handle(shape, table, now)
-        rows = self.folded(shape)
-        messages = [{"headers": {"operation": "insert"}, "key": k, "value": v} for k, v in rows.items()]
-        return {"status": 200, "headers": self._headers(handle, table), "messages": [*messages, UP_TO_DATE]}
-
-    def folded(self, shape: str, until: int | None = None) -> dict[str, dict]:
-        """{key: row as text} of a query as of a version."""
-        fed = self.engine.feed(shape)
-        if until is not None:
-            fed = fed.filter(F.col("version") <= until)
-        last = fed.groupBy("key").agg(F.max_by(F.struct("op", "value"), "version").alias("l"), F.min("version").alias("first")).filter("l.op = 'upsert'")
-        return {r["key"]: dict(r["l"]["value"]) for r in sorted(last.collect(), key=lambda r: (r["first"], numeric(r["key"])))}
+        head = self._headers(handle, table)
+        build = lambda: self._inserts(shape, int(head["offset"]))
+        return {"status": 200, "headers": head, "messages": Messages(lambda: build().drop("_order"), lambda: build().orderBy("_order").drop("_order"))}
+
+    def _feed(self, shape: str, until: int) -> DataFrame:
+        if shape not in self.engine.shapes:
+            raise MustRefetch(shape)
+        return self.engine.feed(shape).filter(F.col("version") <= until)
+
+    def _inserts(self, shape: str, until: int) -> DataFrame:
+        """(operation, key, value) of a query's rows as of a version, and what orders them."""
+        last = self._feed(shape, until).groupBy("key").agg(F.max_by(F.struct("op", "value"), "version").alias("l"), F.min("version").alias("first")).filter("l.op = 'upsert'")
+        return last.select(F.lit("insert").alias("operation"), "key", F.col("l.value").alias("value"), F.struct(F.col("first"), *_by_key()).alias("_order"))
+
+    def _changes(self, shape: str, pk: str, after: int, until: int) -> DataFrame:
+        """(operation, key, value) of what changed between two versions, and what orders it. A row is known
+        if its feed's entry before was an upsert; deletes of unknown rows are no messages."""
+        w = W.partitionBy("key").orderBy("version")
+        fed = self._feed(shape, until).select("*", F.lag("op").over(w).alias("_was"), F.lag("value").over(w).alias("_had"))
+        known = F.coalesce(F.col("_was") == "upsert", F.lit(False))
+        gone = F.when(F.size("old") > 0, F.col("old")).when(F.size("_had") > 0, F.col("_had")).otherwise(F.create_map(F.lit(pk), F.col("key")))
+        out = fed.filter(F.col("version") > after).filter((F.col("op") == "upsert") | known)
+        operation = F.when(F.col("op") == "delete", "delete").when(known, "update").otherwise("insert")
+        return out.select(operation.alias("operation"), "key", F.when(F.col("op") == "upsert", F.col("value")).otherwise(gone).alias("value"), F.struct(F.col("version"), (F.col("op") == "delete").alias("d"), *_by_key()).alias("_order"))
 
     def _live(self, handle: str, h: _Handle, offset: int) -> dict:
         head = self._headers(handle, h.table)
@@ -100,17 +144,11 @@ class ShapeProtocol:
             raise MustRefetch(handle)
         if offset >= self.engine.version:
             return {"status": 204, "headers": head, "messages": []}
-        known, pk = self.folded(h.shape_id, offset), self.engine.schemas[h.table].primary_key
-        messages = []
-        for r in sorted(self.engine.feed(h.shape_id, after=offset).collect(), key=lambda r: (r["version"], r["op"] == "delete", numeric(r["key"]))):
-            if r["op"] == "upsert":
-                messages.append({"headers": {"operation": "update" if r["key"] in known else "insert"}, "key": r["key"], "value": dict(r["value"])})
-                known[r["key"]] = dict(r["value"])
-            elif r["key"] in known:
-                old = r["old"] or known[r["key"]] or {pk[0]: r["key"]}
-                messages.append({"headers": {"operation": "delete"}, "key": r["key"], "value": dict(old)})
-                del known[r["key"]]
-        return {"status": 200 if messages else 204, "headers": head, "messages": [*messages, UP_TO_DATE] if messages else []}
+        pk, until = self.engine.schemas[h.table].primary_key[0], self.engine.version
+        build = lambda: self._changes(h.shape_id, pk, offset, until)
+        if build().isEmpty():
+            return {"status": 204, "headers": head, "messages": []}
+        return {"status": 200, "headers": head, "messages": Messages(lambda: build().drop("_order"), lambda: build().orderBy("_order").drop("_order"))}
 
     # ---- views
 
@@ -132,12 +170,10 @@ class ShapeProtocol:
         return [{"op": kind(r), "key": r["key"], "value": None if r["value"] is None else dict(r["value"]), "version": r["version"]} for r in reversed(last)]
 
 
-def numeric(key: str) -> tuple:
+def _by_key() -> list[Column]:
     """Sorts numbers before texts, and as numbers."""
-    try:
-        return (0, int(key), "")
-    except ValueError:
-        return (1, 0, key)
+    number = F.when(F.col("key").rlike("^[+-]?[0-9]+$"), F.col("key").try_cast("decimal(38,0)"))
+    return [number.isNull().alias("t"), number.alias("n"), F.col("key").alias("k")]
 
 
 class Materialized:
