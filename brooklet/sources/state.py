@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from brooklet.functions.zset import latest_per_key
 from brooklet.schema import TableSchema
 
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 20_000
 COMPACT_AFTER = 20
 
 

@@ -52,8 +52,9 @@ from brooklet.streaming.metrics import Metrics
 
 FEED = "shape_id string, key string, op string, value map<string,string>, old map<string,string>, version bigint"
 AGG_KEY = "agg"
-#: Keys of one batch up to which they are broadcast to find their old images.
-BROADCAST_KEYS = 500_000
+#: Keys of one batch up to which they are broadcast to find their old images. The driver builds what is
+#: broadcast, for all the plans that run at a time.
+BROADCAST_KEYS = 20_000
 #: Files of aggregate state, and of feeds, beyond which they are folded.
 MOST_PARTS, MOST_FEEDS = 60, 200
 #: Independent writes of one batch that run at a time; Spark shares its executors among them.

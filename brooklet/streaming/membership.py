@@ -26,7 +26,7 @@ from brooklet.operators.predicate import In, Predicate, canonical, from_json, nu
 #: Deltas of a node's state beyond which they are folded into a base.
 MOST_DELTAS = 20
 #: Counted rows up to which values are broadcast to a state or table; beyond, the join shuffles.
-BROADCAST_VALUES = 500_000
+BROADCAST_VALUES = 20_000
 
 
 @dataclass

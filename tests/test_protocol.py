@@ -63,3 +63,14 @@ def test_messages_are_those_of_their_versions(spark, items, monkeypatch):
     e.purge(protocol.handles[ask["handle"]].shape_id)
     with pytest.raises(MustRefetch):
         list(first["messages"])
+
+
+def test_the_driver_does_not_build_joins_of_many_keys(spark, items):
+    e, _ = items
+    many, few = 30_000, 200
+    e.log.append_rows(ITEMS, "upsert", spark.range(many).selectExpr("id", "id % 7 AS n"))
+    e.run()
+    joins = lambda version: e.table("items", version)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in joins(1) and "strategy=broadcast" not in joins(1)
+    e.states["items"].deltas[1] = few
+    assert "strategy=broadcast" in joins(1)
