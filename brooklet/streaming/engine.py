@@ -24,12 +24,14 @@ batches after it, no change is lost or doubled between its snapshot and its feed
 
 from __future__ import annotations
 
+import gc
 import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from functools import partial
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,11 @@ AGG_KEY = "agg"
 BROADCAST_KEYS = 20_000
 #: Files of aggregate state, and of feeds, beyond which they are folded.
 MOST_PARTS, MOST_FEEDS = 60, 200
-#: Independent writes of one batch that run at a time; Spark shares its executors among them.
-AT_ONCE = 8
+#: Independent writes of one batch that run at a time; Spark shares its executors among them, and the driver
+#: holds the plans and broadcasts of all.
+AT_ONCE = 4
+#: Part of the driver's heap that plans may take before what they left is collected.
+HEAP_SHARE = 0.25
 
 
 @dataclass
@@ -96,6 +101,7 @@ class LiveEngine:
         self.metrics = Metrics()
         self.faults: set[str] = set()
         self._agg_values: dict[tuple[str, int], tuple] = {}
+        self._heap_was, self._collecting = 0, Lock()
         self.work = self.store.path("work")
         found = self.catalog.fold()
         self.folded, self.gone, self.feeds, self.feeds_gone = found.folded, found.gone, found.feeds, found.feeds_gone
@@ -370,6 +376,21 @@ class LiveEngine:
 
     def _write(self, df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(path)
+        self._let_go()
+
+    def _let_go(self) -> None:
+        """Collect the driver's garbage once a part of its heap was taken. Spark drops the broadcasts and shuffles of
+        ended plans only when the driver's JVM has collected them, which it does when its heap is full."""
+        heap = self.spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        used = lambda: heap.totalMemory() - heap.freeMemory()
+        if used() - self._heap_was < HEAP_SHARE * heap.maxMemory() or not self._collecting.acquire(blocking=False):
+            return
+        try:
+            gc.collect()  # what Python holds of plans, Spark holds
+            self.spark.sparkContext._jvm.System.gc()
+            self._heap_was = used()
+        finally:
+            self._collecting.release()
 
     def _feed_path(self, version: int, what: str) -> str:
         return self.store.path(f"feed/{version:09d}-{what}")
