@@ -19,6 +19,7 @@ ITEMS = TableSchema.from_json("items", {"columns": {"id": "int", "n": "int"}, "p
 MOST_ROWS = 300
 QUERIES = [
     "live_contributors",
+    "live_family_feed",
 ]
 
 
