@@ -20,6 +20,7 @@ MOST_ROWS = 300
 QUERIES = [
     "live_contributors",
     "live_family_feed",
+    "live_filter_feed",
 ]
 
 
