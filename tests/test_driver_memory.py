@@ -21,6 +21,7 @@ QUERIES = [
     "live_contributors",
     "live_family_feed",
     "live_filter_feed",
+    "live_late_feed",
 ]
 
 
