@@ -22,6 +22,7 @@ QUERIES = [
     "live_family_feed",
     "live_filter_feed",
     "live_late_feed",
+    "live_not_in_feed",
 ]
 
 
