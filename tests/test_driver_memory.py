@@ -23,6 +23,7 @@ QUERIES = [
     "live_filter_feed",
     "live_late_feed",
     "live_not_in_feed",
+    "live_or_subquery_feed",
 ]
 
 
