@@ -24,6 +24,7 @@ QUERIES = [
     "live_late_feed",
     "live_not_in_feed",
     "live_or_subquery_feed",
+    "live_router_final",
 ]
 
 
