@@ -25,6 +25,7 @@ QUERIES = [
     "live_not_in_feed",
     "live_or_subquery_feed",
     "live_router_final",
+    "live_subquery_final",
 ]
 
 
