@@ -26,6 +26,7 @@ QUERIES = [
     "live_or_subquery_feed",
     "live_router_final",
     "live_subquery_final",
+    "live_woken_feed",
 ]
 
 
