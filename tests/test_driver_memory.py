@@ -27,6 +27,7 @@ QUERIES = [
     "live_router_final",
     "live_subquery_final",
     "live_woken_feed",
+    "proto_rows_view",
 ]
 
 
