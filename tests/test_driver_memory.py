@@ -28,6 +28,7 @@ QUERIES = [
     "live_subquery_final",
     "live_woken_feed",
     "proto_rows_view",
+    "live_agg_count_final",
 ]
 
 
