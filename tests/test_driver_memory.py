@@ -29,6 +29,7 @@ QUERIES = [
     "live_woken_feed",
     "proto_rows_view",
     "live_agg_count_final",
+    "live_agg_max_retract",
 ]
 
 
