@@ -30,6 +30,7 @@ QUERIES = [
     "proto_rows_view",
     "live_agg_count_final",
     "live_agg_max_retract",
+    "live_changes_only_feed",
 ]
 
 
