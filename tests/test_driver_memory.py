@@ -31,6 +31,7 @@ QUERIES = [
     "live_agg_count_final",
     "live_agg_max_retract",
     "live_changes_only_feed",
+    "live_counts_final",
 ]
 
 
