@@ -32,6 +32,7 @@ QUERIES = [
     "live_agg_max_retract",
     "live_changes_only_feed",
     "live_counts_final",
+    "live_feed_fold_at_version",
 ]
 
 
