@@ -33,6 +33,7 @@ QUERIES = [
     "live_changes_only_feed",
     "live_counts_final",
     "live_feed_fold_at_version",
+    "live_filter_final",
 ]
 
 
