@@ -34,6 +34,7 @@ QUERIES = [
     "live_counts_final",
     "live_feed_fold_at_version",
     "live_filter_final",
+    "live_membership_probe",
 ]
 
 
