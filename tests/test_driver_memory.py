@@ -35,6 +35,7 @@ QUERIES = [
     "live_feed_fold_at_version",
     "live_filter_final",
     "live_membership_probe",
+    "live_not_in_final",
 ]
 
 
