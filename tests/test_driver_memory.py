@@ -36,6 +36,7 @@ QUERIES = [
     "live_filter_final",
     "live_membership_probe",
     "live_not_in_final",
+    "live_page_merge",
 ]
 
 
