@@ -37,6 +37,7 @@ QUERIES = [
     "live_membership_probe",
     "live_not_in_final",
     "live_page_merge",
+    "live_subquery_feed",
 ]
 
 
