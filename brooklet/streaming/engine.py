@@ -33,6 +33,7 @@ from dataclasses import asdict, dataclass, field
 from functools import partial
 from threading import Lock
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,23 @@ MOST_PARTS, MOST_FEEDS = 60, 200
 #: holds the plans and broadcasts of all.
 AT_ONCE = 4
 #: Part of the driver's heap that plans may take before what they left is collected.
-HEAP_SHARE = 0.25
+HEAP_SHARE = 0.125
+
+
+def trim(spark: SparkSession) -> bool:
+    """Give what the driver's JVM has freed beside its heap back to the system; False where it cannot. Threads and
+    compiled plans come and go with every batch, and the allocator keeps what they freed in an arena for each few threads."""
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, args)
+    except Py4JJavaError:  # another JVM, or another allocator
+        return False
+    return True
 
 
 @dataclass
@@ -380,7 +397,8 @@ class LiveEngine:
 
     def _let_go(self) -> None:
         """Collect the driver's garbage once a part of its heap was taken. Spark drops the broadcasts and shuffles of
-        ended plans only when the driver's JVM has collected them, which it does when its heap is full."""
+        ended plans only when the driver's JVM has collected them, which it does when its heap is full; what was
+        freed beside the heap stays with the JVM until it is trimmed."""
         heap = self.spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
         used = lambda: heap.totalMemory() - heap.freeMemory()
         if used() - self._heap_was < HEAP_SHARE * heap.maxMemory() or not self._collecting.acquire(blocking=False):
@@ -388,6 +406,7 @@ class LiveEngine:
         try:
             gc.collect()  # what Python holds of plans, Spark holds
             self.spark.sparkContext._jvm.System.gc()
+            trim(self.spark)
             self._heap_was = used()
         finally:
             self._collecting.release()

@@ -77,6 +77,17 @@ def test_the_driver_lets_go_of_the_broadcasts_of_ended_plans(spark, tmp_path, mo
     assert left[1.0] > 0 and left[0.0] < left[1.0] / 4
 
 
+def test_what_plans_freed_beside_the_heap_is_given_back(spark, tmp_path, monkeypatch):
+    given = []
+    monkeypatch.setattr(engine_module, "trim", lambda s, f=engine_module.trim: given.append(f(s)))
+    for share, some in ((1.0, False), (0.0, True)):
+        monkeypatch.setattr(engine_module, "HEAP_SHARE", share)
+        e = LiveEngine(spark, f"file://{tmp_path}/{share}")
+        e.define_table(ITEMS, spark.range(100).selectExpr("id", "id % 10 AS n"))
+        e.create_aggregate("items", "max", "n")
+        assert bool(given) == some and all(given)
+
+
 @pytest.fixture(scope="module")
 def collected(spark, tmp_path_factory):
     """A folder of its own, whose replay is made by the first query that is asked, and the rows that reached the driver."""
