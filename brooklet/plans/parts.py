@@ -19,7 +19,7 @@ from brooklet.schema import TableSchema, ValidationError
 from brooklet.sources import pgoutput
 from brooklet.sources.changelog import ENVELOPE, typed
 from brooklet.sources.gate import SnapshotGate
-from brooklet.streaming import retention
+from brooklet.streaming import membership, retention
 from brooklet.streaming.live_subset import LiveSubset
 
 _NESTED = "p_size > 10 AND (p_brand LIKE 'Brand#1%' OR NOT (p_type = 'PROMO')) AND p_name <> 'it''s'"
@@ -161,7 +161,8 @@ def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = (r := replay(spark, sf_dir)).engine
     p = e.shapes[r.member].predicate
     assert len(subqueries(p)) == 1
-    return e.sets.decided("customer", e.table("customer").filter("c_custkey % 2 = 0"), p, 2, True).select("c_custkey")
+    rows = e.table("customer").filter("c_custkey % 2 = 0")
+    return e.sets.decided("customer", rows, p, 2, rows.count() <= membership.BROADCAST_VALUES).select("c_custkey")
 
 
 _GONE = f"(o_orderkey % 11 = 0 OR o_totalprice >= {HIGH} * (SELECT MAX(o_totalprice) FROM orders))"

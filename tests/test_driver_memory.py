@@ -12,6 +12,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from brooklet.plans import catalog
 from brooklet.schema import TableSchema
 from brooklet.streaming import engine as engine_module
+from brooklet.streaming import membership
 from brooklet.streaming.engine import LiveEngine
 
 DATA = "/root/testdata/sf0.001"
@@ -120,3 +121,14 @@ def test_a_live_query_brings_few_rows_to_the_driver(spark, collected, name):
     for t in ("orders", "customer"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     assert Counter(tuple(r) for r in collect(got)) == Counter(db.execute(catalog.oracle_sql()[name]).fetchall())
+
+
+def test_a_probe_of_more_customers_than_are_broadcast_shuffles_them(spark, collected, monkeypatch):
+    folder, _, collect = collected
+    rows = {}
+    for most in (10, 20_000):  # 75 customers are asked for
+        monkeypatch.setattr(membership, "BROADCAST_VALUES", most)
+        got = catalog.queries()["live_membership_probe"](spark, folder)
+        assert ("strategy=broadcast" in got._jdf.queryExecution().analyzed().toString()) == (most > 75)
+        rows[most] = sorted(collect(got))
+    assert rows[10] == rows[20_000]
