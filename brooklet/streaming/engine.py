@@ -401,15 +401,15 @@ class LiveEngine:
         freed beside the heap stays with the JVM until it is trimmed."""
         heap = self.spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
         used = lambda: heap.totalMemory() - heap.freeMemory()
-        if used() - self._heap_was < HEAP_SHARE * heap.maxMemory() or not self._collecting.acquire(blocking=False):
+        taken = lambda: used() - self._heap_was >= HEAP_SHARE * heap.maxMemory()
+        if not taken():
             return
-        try:
-            gc.collect()  # what Python holds of plans, Spark holds
-            self.spark.sparkContext._jvm.System.gc()
-            trim(self.spark)
-            self._heap_was = used()
-        finally:
-            self._collecting.release()
+        with self._collecting:  # a collection that began before this write ended has missed what it left
+            if taken():
+                gc.collect()  # what Python holds of plans, Spark holds
+                self.spark.sparkContext._jvm.System.gc()
+                trim(self.spark)
+                self._heap_was = used()
 
     def _feed_path(self, version: int, what: str) -> str:
         return self.store.path(f"feed/{version:09d}-{what}")
